@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries kept of each memory (pieces, pairs) in a worker, and the longest piece that is kept.
-MEMORY, KEPT_PIECE = 300_000, 48
+MEMORY, KEPT_PIECE = 500_000, 48
 #: Rows handled and handed on together.
 ROWS = 256
 
@@ -57,20 +57,62 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for entry in ranks:
-            self.automaton.add_word(entry.decode("latin-1"), len(entry))
+            self.automaton.add_word(entry.decode("latin-1"), (len(entry), ranks[entry]))
         self.automaton.make_automaton()
         self.pieces: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.spines: dict[int, tuple[list[int], list[int], bool] | None] = {}
         self.shorter: dict[int, int] = {}
 
+    def spine(self, token: int) -> tuple[list[int], list[int], bool] | None:
+        """What stands at a token's left and right edge while its bytes are merged, in order of time, and
+        whether ranks rise along the whole merge tree; None if its bytes don't merge to it."""
+        if token in self.spines:
+            return self.spines[token]
+        parts, ranks = [bytes([x]) for x in self.entry[token]], self.ranks
+        while len(parts) > 2:
+            rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        made: tuple[list[int], list[int], bool] | None = None
+        if len(parts) == 1:
+            made = [token], [token], True
+        elif len(parts) == 2:
+            left, right = (self.spine(ranks[x]) for x in parts)
+            if left and right:
+                made = [*left[0], token], [*right[1], token], left[2] and right[2] and all(ranks[x] < token or len(x) == 1 for x in parts)
+        self.spines[token] = made
+        return made
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart, as they are, when their joined bytes are merged."""
         if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
-            self.pairs[a, b] = known = merged(self.entry[a] + self.entry[b], self.ranks) == [a, b]
+            self.pairs[a, b] = known = self._compatible(a, b)
         return known
 
+    def _compatible(self, a: int, b: int) -> bool:
+        left, right = self.spine(a), self.spine(b)
+        if not left or not right:
+            return False
+        if not (left[2] and right[2]):
+            return merged(self.entry[a] + self.entry[b], self.ranks) == [a, b]
+        edge_a, edge_b, i, j, never = left[1], right[0], 0, 0, 1 << 60
+        while True:  # which comes first: the join across the border, or a merge on either side of it
+            across = self.ranks.get(self.entry[edge_a[i]] + self.entry[edge_b[j]], never)
+            in_a = edge_a[i + 1] if i + 1 < len(edge_a) else never
+            in_b = edge_b[j + 1] if j + 1 < len(edge_b) else never
+            if across < in_a and across <= in_b and across < never:
+                return False
+            if in_a == in_b == never:
+                return True
+            if in_a <= in_b:
+                i += 1
+            else:
+                j += 1
+
     def prefix(self, token: int) -> int:
         """The longest entry that is a proper prefix of token's bytes, -1 if none."""
         if (known := self.shorter.get(token)) is None:
@@ -83,27 +125,42 @@ class Codec:
         """Ids of one match of the pattern."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        longest = [0] * len(piece)
-        for last, length in self.automaton.iter(piece.decode("latin-1")):
-            longest[last - length + 1] = length  # ends come in ascending order: the longest stays
-        dead = bytearray(len(piece) + 1)
+        latin, pairs = piece.decode("latin-1"), self.pairs
+        greedy = [found[1] for _, found in self.automaton.iter_long(latin)]
+        if all(pairs[x] if x in pairs else self.compatible(*x) for x in zip(greedy, greedy[1:], strict=False)):
+            return greedy  # every longest match holds: nothing to step back from
+        ranks, entry, n = self.ranks, self.entry, len(piece)
+        longest: dict[int, int] = {}  # longest match by place; of long pieces all at once
+        if n > KEPT_PIECE:
+            for last, (length, token) in self.automaton.iter(latin):
+                longest[last - length + 1] = token  # ends come in ascending order: the longest stays
+        dead = bytearray(n + 1)
         out: list[int] = []
-        at, token = 0, self.ranks[piece[: longest[0]]]
+        at, token = 0, greedy[0]
         while True:
             while token >= 0:
-                end = at + len(self.entry[token])
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
+                end = at + len(entry[token])
+                if not dead[end]:
+                    if not out:
+                        break
+                    pair = out[-1], token
+                    if pairs[pair] if pair in pairs else self.compatible(*pair):
+                        break
                 token = self.prefix(token)
             if token >= 0:
                 out.append(token)
-                if end == len(piece):
+                if end == n:
                     return out
-                at, token = end, self.ranks[piece[end : end + longest[end]]]
+                at = end
+                if (token := longest.get(at, -1)) < 0:
+                    stop = n
+                    while (token := ranks.get(piece[at:stop], -1)) < 0:
+                        stop -= 1
+                    longest[at] = token
             else:  # nothing fits here after what stands before: this place is dead
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.entry[token])
+                at -= len(entry[token])
                 token = self.prefix(token)
 
     def encode(self, text: str) -> bytes:
