@@ -36,3 +36,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basewright.llm import sharding
 
     return sharding.digests(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_warc_revisits",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+o AS (SELECT payload_digest, min(page_id) AS original FROM h WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, h.payload_digest AS payload_digest,
+  CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM h LEFT JOIN o ON h.payload_digest = o.payload_digest""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basewright.llm import warc
+
+    return warc.digests(table(spark, sf_dir, "pages"))
