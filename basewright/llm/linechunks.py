@@ -1 +1,116 @@
+"""Removal of repeated multi-line chunks, in DataFrame operations only.
 
+A rolling hash over two neighbouring line hashes is taken at each line; a chunk ends after each line whose
+rolling hash is a strict local minimum (below the one before, not above the one after). That depends on four
+neighbouring lines alone, so boundaries come again after lines were put in elsewhere, and chunks inside a text
+have two lines at least. Chunks of two lines or more whose hash occurs more than once are compared by their
+bytes; of equal ones the first stays: the one in the smallest doc_id, there the topmost. All others go.
+
+Only chunks with a repeated hash carry their text into a shuffle. Groups are pre-aggregated for each task, and
+the join that brings the first owner back has no aggregate on its stage, so that Spark can split a hot chunk.
+
+Defined results. A null text has no lines and stays null; an empty text is one empty line. Null doc_ids come
+after all others, among each other nothing is removed but repeats inside one text. Rows that repeat a doc_id
+don't remove each other's chunks (neither comes first); each is decided by its own text. Texts without repeats
+stay as they are, byte for byte.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from basewright.llm.decontaminate import let
+
+LEAST_LINES = 2
+#: Repeated hashes (longs) are broadcast when counted to be so many at most (some 60 MB as a hash table).
+BROADCAST_ROWS = 1_000_000
+LAST = (1 << 63) - 1
+
+
+def _chunk_list(lines: Column) -> Column:
+    """Chunks of a text as structs of number, start (from 0) and length in lines."""
+
+    def cut(rolling: Column) -> Column:
+        n = F.size(rolling)
+        inner = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
+        ends = F.filter(inner, lambda i: (F.get(rolling, i) < F.get(rolling, i - 1)) & (F.get(rolling, i) <= F.get(rolling, i + 1)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda i: i + 1))
+        return let(starts, lambda s: F.transform(s, lambda start, k: F.struct(k.alias("k"), start.alias("start"), (F.coalesce(F.get(s, k + 1), n) - start).alias("n"))))
+
+    def roll(hashes: Column) -> Column:
+        return F.transform(hashes, lambda h, i: F.xxhash64(F.coalesce(F.get(hashes, i - 1), F.lit(0)), h))
+
+    hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    return let(hashes, lambda h: let(roll(h), cut))
+
+
+def _texts(lines: Column, chunks: Column) -> Column:
+    """Chunks with their text's hash and text."""
+    whole = F.transform(chunks, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n").alias("text")))
+    return F.transform(whole, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), F.xxhash64(c["text"]).alias("hash"), c["text"].alias("text")))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """A row for each chunk of LEAST_LINES lines or more; `again`: a chunk above in the same text is equal."""
+    made = let(F.split("text", "\n"), lambda lines: let(_texts(lines, _chunk_list(lines)), lambda all_: _local(all_)))
+    own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.explode(made).alias("c"))
+    return own.select("doc", "row", "c.*")
+
+
+def _local(chunks: Column) -> Column:
+    """Multi-line chunks of a text, each with whether its first equal hash has the same text and stands above."""
+
+    def each(hashes: Column) -> Column:
+        def one(c: Column) -> Column:
+            first = F.get(chunks, F.array_position(hashes, c["hash"]).cast("int") - 1)
+            return F.struct(c["k"].alias("k"), c["hash"].alias("hash"), c["text"].alias("text"), ((first["k"] < c["k"]) & (first["text"] == c["text"])).alias("again"))
+
+        return F.transform(F.filter(chunks, lambda c: c["n"] >= LEAST_LINES), one)
+
+    return let(F.transform(chunks, lambda c: c["hash"]), each)
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """For each text with something to remove its doc, row (hash of the text) and the numbers of the chunks that go."""
+    rows = _rows(docs.select("doc_id", "text").where("text IS NOT NULL"))
+    repeated = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("hash")
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    alike = rows.join(repeated, "hash", "left_semi")
+    owners = alike.groupBy("hash", "text").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    goes = alike.join(owners, ["hash", "text"]).where("again OR owner < doc")
+    return goes.groupBy("doc", "row").agg(F.collect_set("k").alias("gone"))
+
+
+def line_deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with `text` without its repeated chunks, and `n_lines`, `n_removed` (lines) long."""
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    gone = removals(docs).withColumnsRenamed({"doc": "_bw_doc", "row": "_bw_row", "gone": "_bw_gone"})
+    keyed = docs.select(*kept).withColumn("_bw_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("_bw_hash", F.xxhash64("text"))
+    met = keyed.join(gone, (F.col("_bw_id") == F.col("_bw_doc")) & (F.col("_bw_hash") == F.col("_bw_row")), "left")
+
+    def stay(lines: Column) -> Column:
+        left = F.filter(_chunk_list(lines), lambda c: ~F.array_contains("_bw_gone", c["k"]))
+        return F.flatten(F.transform(left, lambda c: F.slice(lines, c["start"] + 1, c["n"])))
+
+    left = F.when(F.col("_bw_gone").isNotNull(), let(F.split("text", "\n"), stay))
+    met = met.withColumn("_bw_left", left).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
+    removed = F.when(F.col("_bw_left").isNull(), 0).otherwise(F.col("n_lines") - F.size("_bw_left")).cast("long")
+    text = F.when(F.col("_bw_left").isNull(), F.col("text")).otherwise(F.array_join("_bw_left", "\n"))
+    return met.withColumn("n_removed", removed).select(*[text.alias("text") if c == "text" else c for c in kept], "n_lines", "n_removed")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs' columns with the new text, `n_chars` brought up to date; texts that lost everything are left out."""
+    out = line_deduplicated(docs).where("n_removed = 0 OR trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns) if not {"n_lines", "n_removed"} & set(docs.columns) else out.drop("n_lines", "n_removed").join(docs.select("doc_id", *({"n_lines", "n_removed"} & set(docs.columns))).dropDuplicates(["doc_id"]), "doc_id", "left").select(*docs.columns)
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """A row for each document: lines, lines removed, and what is left by size and digest."""
+    out = line_deduplicated(docs.select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.char_length(text).cast("long").alias("kept_chars"), F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"))
