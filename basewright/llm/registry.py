@@ -76,3 +76,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basewright.llm import decontaminate
 
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_multiset_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basewright.llm import multiset
+
+    return multiset.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_line_chunks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basewright.llm import linechunks
+
+    return linechunks.digests(table(spark, sf_dir, "documents"))
