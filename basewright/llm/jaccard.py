@@ -1 +1,237 @@
+"""Near duplicates by Jaccard similarity of word shingles, with Bayesian pruning of candidates.
 
+1. Each text becomes its set of hashed shingles, its 128 MinHash values and 32 band keys of four values each;
+   texts with the same set become one node. A pair at 0.8 shares no band with probability 5e-8.
+2. Nodes that share a band key are linked to the smallest of them, and the components of these links are the
+   units of work: every pair that shares a band is inside one.
+3. A component is compared in tiles of at most TILE by TILE nodes. Pairs are compared by MinHash values in
+   rounds; after each, the posterior of the similarity (uniform prior) says how probable it is to reach the
+   threshold, and pairs below TOLERANCE are dropped. Those that stay are verified on the exact sets. Tiles hand
+   on counts of links and a spanning forest, never the pairs.
+4. The components of the forests are the classes.
+
+Cost and skew: shingling is one narrow pass; band keys, links and members are rows of a few longs. A key that
+many share is pre-aggregated for each task and split by Spark in the join that follows. A component of n nodes
+becomes n / TILE copies of its texts over n² / TILE² / 2 tiles, so that no task holds more than two tiles' texts;
+nothing is capped.
+
+Defined results. `n_links` of a document is the number of other documents at the threshold or above, copies
+counted each. Texts without words (null among them) link only to equal texts. `class_id` is the smallest doc_id
+of all that links connect; documents of the same set share `rep_id`, its smallest doc_id. Rows with a null doc_id
+can't be named: they are returned with null class and rep and no links, and never count for others. Rows that
+repeat both doc_id and text are one document for class and rep, and count as copies in n_links.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from basewright.llm.common import SHINGLE_WORDS, SIMILAR, WordHashes, mixed, shingles, written
+from basewright.llm.components import components
+
+HASHES, BANDS, ROUND = 128, 32, 32
+TOLERANCE = 1e-6
+TILE = 512
+#: Candidate documents (two longs each) are broadcast when counted to be so many at most.
+BROADCAST_ROWS = 1_000_000
+_BLOCK = 4096
+
+_RANDOM = np.random.Generator(np.random.PCG64(5_021))
+_XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
+_TIMES = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
+
+
+def minhash(hashes: np.ndarray) -> np.ndarray:
+    """The 128 MinHash values of a set that isn't empty."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for start in range(0, len(short), _BLOCK):
+        np.minimum(out, ((short[None, start : start + _BLOCK] ^ _XOR) * _TIMES).min(axis=1), out=out)
+    return out
+
+
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    parts = signature.reshape(BANDS, -1).astype(np.uint64)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(parts.shape[1]):
+        key = mixed(key ^ parts[:, i])
+    return key.view(np.int64)
+
+
+@lru_cache
+def least_matches(n: int, similar: float, tolerance: float = TOLERANCE) -> int:
+    """The fewest matches among n MinHash values that leave a posterior of tolerance for `similar` or more."""
+    below = 0.0
+    for m in range(n + 1):  # P(Beta(m + 1, n - m + 1) >= t) = P(Binomial(n + 1, t) <= m)
+        below += math.comb(n + 1, m) * similar**m * (1 - similar) ** (n + 1 - m)
+        if below >= tolerance:
+            return m
+    return n
+
+
+def prune(a: np.ndarray, b: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows of the signatures a and b those that no round drops."""
+    i, j = pairs
+    matches = np.zeros(len(i), np.int32)
+    for start in range(0, HASHES, ROUND):
+        for at in range(0, len(i), 1 << 16):  # 8 MB at a time
+            part = slice(at, at + (1 << 16))
+            matches[part] += (a[i[part], start : start + ROUND] == b[j[part], start : start + ROUND]).sum(axis=1, dtype=np.int32)
+        keep = matches >= least_matches(start + ROUND, similar)
+        i, j, matches = i[keep], j[keep], matches[keep]
+    return i, j
+
+
+def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of pairs of sets."""
+    if len(i) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    # many pairs: the incidence matrix of the shingles that two sets have at least, times its transpose
+    every, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)  # counts below 2^24 are exact
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, _BLOCK):
+        low, high = np.searchsorted(column, [start, start + _BLOCK])
+        part = np.zeros((len(sets), _BLOCK), np.float32)
+        part[row[low:high], column[low:high] - start] = 1
+        total += part @ part.T
+    return total[i, j].astype(np.int64)
+
+
+def compared(left: list[np.ndarray], right: list[np.ndarray] | None, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at the threshold: among left, or between left and right (whose numbers follow those of left)."""
+    sets = left + (right or [])
+    size = np.array([len(x) for x in sets], np.int64)
+    signature = np.stack([minhash(x) for x in sets])
+    n = len(left)
+    i, j = np.triu_indices(n, 1) if right is None else tuple(x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n, len(sets)), indexing="ij"))
+    fits = np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j]) - 1e-9
+    i, j = prune(signature, signature, (i[fits], j[fits]), similar)
+    both = intersections(sets, i, j)
+    good = both >= similar * (size[i] + size[j] - both) - 1e-9
+    return i[good], j[good]
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """For each of n things the smallest number that pairs connect it to."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]
+
+
+def _tile(similar: float, width: int) -> Callable[[pa.Table], pa.Table]:
+    hashes = WordHashes()
+
+    def run(table: pa.Table) -> pa.Table:
+        rows: dict[tuple, dict[int, tuple]] = {}
+        columns = [table.column(x).to_pylist() for x in ("comp", "low", "high", "block", "node", "many", "text")]
+        for comp, low, high, block, node, many, text in zip(*columns, strict=True):
+            rows.setdefault((comp, low, high), {})[node] = block, many, text
+        out: tuple[list, list, list] = ([], [], [])
+        for (_, low, high), nodes in rows.items():
+            order = sorted(nodes, key=lambda x: (nodes[x][0], x))
+            sets = [shingles(nodes[x][2], hashes, width) for x in order]
+            n = sum(nodes[x][0] == low for x in order)
+            if low != high and not 0 < n < len(order):
+                continue
+            i, j = compared(sets[:n], sets[n:] if low != high else None, similar)
+            many = np.array([nodes[x][1] for x in order], np.int64)
+            links = np.bincount(i, many[j], len(order)) + np.bincount(j, many[i], len(order))
+            for column, values in zip(out, (order, links.astype(np.int64).tolist(), [order[x] for x in forest(len(order), i, j)]), strict=True):
+                column.extend(values)
+        return pa.table({"node": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "root": pa.array(out[2], pa.int64())})
+
+    return run
+
+
+def signed(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, text_hash, set_key (16 bytes that tell sets of shingles apart) and bands of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hashes = WordHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                keys, bands = [], []
+                for text in part.column(2).to_pylist():
+                    own = shingles(text, hashes, width)
+                    keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else xxhash.xxh3_128_digest(b"text " + (text or "").encode("utf-8", "surrogatepass")))
+                    bands.append(band_keys(minhash(own)) if len(own) else np.empty(0, np.int64))
+                offsets = np.cumsum([0, *map(len, bands)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(bands), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), lists], names=["doc_id", "text_hash", "set_key", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set_key binary, bands array<long>")
+
+
+def join(docs: DataFrame, similar: float = SIMILAR, width: int = SHINGLE_WORDS, tile: int = TILE) -> DataFrame:
+    """doc_id, text_hash, class_id, rep_id, n_links: a row for each of docs."""
+    rows = written(signed(docs, width), "signed")
+    named = rows.where("doc_id IS NOT NULL")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    sets = named.groupBy("set_key").agg(first, F.count(F.lit(1)).alias("many"), F.any_value("bands").alias("bands"))
+    sets = written(sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "first.*", "many", "bands"), "sets")
+
+    band = sets.select("node", F.explode("bands").alias("key"))
+    hubs = band.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    candidates = band.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).dropDuplicates()
+    comps = components(candidates).select("node", F.col("label").alias("comp"))
+
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.expr(f"(n + {tile - 1}) div {tile}").cast("int")
+    units = comps.join(sizes, "comp").withColumn("blocks", blocks).join(sets.drop("bands", "set_key"), "node")
+    units = written(units.select("node", "comp", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "many", F.col("doc_id").alias("unit_doc"), F.col("text_hash").alias("unit_hash")), "units")
+    small = F.broadcast(units) if units.count() <= BROADCAST_ROWS else units
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    met = texts.join(small, (F.col("doc_id") == F.col("unit_doc")) & (F.col("text_hash") == F.col("unit_hash")))
+    spread = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "many", "text", "blocks")
+    # tiles of one block are small: several go to one call; those of a large component get a call each
+    tiles = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+    call = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(tiles))).otherwise(F.xxhash64("comp", "low", "high"))
+    done = written(spread.withColumn("call", call).groupBy("call").applyInArrow(_tile(similar, width), "node long, links long, root long"), "tiles")
+
+    links = done.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = components(done.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "label")
+    known = sets.select("node", "set_key", F.col("doc_id").alias("rep_id"), "many").join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = known.groupBy("label").agg(F.min("rep_id").alias("class_id"))
+    known = known.join(lowest, "label").select(F.col("set_key").alias("known_key"), "class_id", "rep_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = rows.join(known, (F.col("set_key") == F.col("known_key")) & F.col("doc_id").isNotNull(), "left")
+    return out.select("doc_id", "text_hash", "class_id", "rep_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs without those that have a smaller doc_id in their class; rows with a null doc_id stay."""
+    classed = join(docs.select("doc_id", "text"))
+    gone = classed.where("doc_id <> class_id").select(F.col("doc_id").alias("_bw_doc"), F.col("text_hash").alias("_bw_hash")).dropDuplicates()
+    same = (F.col("doc_id") == F.col("_bw_doc")) & (F.xxhash64("text") == F.col("_bw_hash"))
+    return docs.join(gone, same, "left_anti")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """The query's rows."""
+    return join(docs.select("doc_id", "text")).drop("text_hash")

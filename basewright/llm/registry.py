@@ -90,3 +90,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basewright.llm import linechunks
 
     return linechunks.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op1_ngram_jaccard")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basewright.llm import jaccard
+
+    return jaccard.links(table(spark, sf_dir, "documents"))
