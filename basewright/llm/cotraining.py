@@ -1 +1,198 @@
+"""Quality classifier by co-training on two views of a document.
 
+The text view sees what the text is made of (kinds of characters, word lengths, repeats); the metadata view sees
+language, source and the sizes of the page (characters, lines). Each round both views are fitted, score a pool of
+documents without labels, and each gives the other the documents it is surest of, as labelled. Then each view is
+calibrated on labelled documents kept apart, and the views are combined as independent evidence over the
+base rate.
+
+Fitting uses at most SAMPLE labelled and POOL other documents, chosen by a hash of doc_id; every document is
+scored, by its whole text.
+
+Defined results. Null text counts as empty, null metadata as a value of its own. Labels that repeat a doc_id are
+averaged; null labels and labels without a document don't count. Without labels of both kinds every document is
+accepted with score 1. Rows that repeat a doc_id are scored each; extra columns aren't read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from operator import eq
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SAMPLE, POOL, ROUNDS = 20_000, 20_000, 5
+#: A view hands on documents that it holds to be one kind with this probability, and so many a round at most (a share of the pool).
+SURE, HANDED = 0.95, 0.1
+ACCEPT = 0.5
+LANGS, SOURCES = 16, 64
+_CLASSES = np.zeros(256, np.int64)
+for _n, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t", b"\r\n", b".", b",;:", b"!?", b"#$%&*@^~", b"|<>{}[]\\", b"'\"()-/_+="), 1):
+    _CLASSES[list(_chars)] = _n
+_CLASSES[128:] = 12
+TEXT_WIDTH, META_WIDTH = 36, LANGS + SOURCES + 6
+
+
+def text_view(text: str | None) -> np.ndarray:
+    """Shares of kinds of bytes and of words, each also as its square root."""
+    text = text or ""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    kinds = np.bincount(_CLASSES[np.arange(256)], np.bincount(data, minlength=256), 13)
+    words = text.split()
+    n, size = max(1, len(words)), max(1, len(data))
+    shares = [*(kinds / size), kinds[1] / max(1, kinds[1] + kinds[2]), len(set(words)) / n, sum(map(eq, words, words[1:])) / n, min(1.0, len(text) / n / 40), min(1.0, np.log1p(len(words)) / 12)]
+    shares = np.array(shares)
+    return np.concatenate([shares, np.sqrt(shares)])
+
+
+def meta_view(lang: str | None, source: str | None, chars: int, lines: int) -> np.ndarray:
+    import xxhash
+
+    out = np.zeros(META_WIDTH)
+    out[xxhash.xxh32_intdigest(f"{lang}".encode("utf-8", "surrogatepass")) % LANGS] = 1
+    out[LANGS + xxhash.xxh32_intdigest(f"{source}".encode("utf-8", "surrogatepass")) % SOURCES] = 1
+    size, line = np.log1p(chars) / 10, np.log1p(chars / max(1, lines)) / 10
+    out[-6:] = size, size * size, np.log1p(lines) / 10, line, line * line, chars < 200
+    return out
+
+
+@dataclass
+class Linear:
+    """Logistic regression on standardised columns, then a slope and an offset that calibrate it."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(self.slope * ((x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]) + self.offset, -20, 20)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
+    """Weights, the last for the constant, of a logistic regression with a quadratic penalty."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge @ w)
+        w += move * min(1.0, 5 / max(1e-9, np.abs(move).max()))
+        if np.abs(move).max() < 1e-6:
+            break
+    return w
+
+
+def fit_view(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Linear:
+    scale = np.maximum(x.std(axis=0), 1e-3)
+    return Linear(x.mean(axis=0), scale, _newton((x - x.mean(axis=0)) / scale, y, penalty))
+
+
+def calibrate(view: Linear, x: np.ndarray, y: np.ndarray) -> Linear:
+    """Platt scaling; targets are drawn in a little, so that a perfect split stays finite."""
+    good, bad = y.sum(), len(y) - y.sum()
+    slope, offset = _newton(view.logit(x)[:, None], np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2)), 1e-3)
+    return Linear(view.mean, view.scale, view.weights, float(max(slope, 0.0)), float(offset))
+
+
+@dataclass
+class Model:
+    views: tuple[Linear, Linear] | None = None
+    base: float = 0.0
+
+    def probability(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        if self.views is None:
+            return np.ones(len(text))
+        total = self.views[0].logit(text) + self.views[1].logit(meta) - self.base
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> Model:
+    """y by label, of rows in the same order in both views; every fifth labelled row is kept for calibration."""
+    kept = np.arange(len(y)) % 5 == 4
+    if len(set(y[~kept])) < 2 or len(set(y[kept])) < 2:
+        kept = np.zeros(len(y), bool)
+    if len(set(y)) < 2:
+        return Model()
+    held = kept if kept.any() else ~kept
+    base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    x, target = [v[~kept] for v in views], [y[~kept].astype(float)] * 2
+    free = np.ones(len(pool[0]), bool)
+    fitted: list[Linear] = []
+    for _ in range(rounds + 1):
+        fitted = [calibrate(fit_view(x[i], target[i]), views[i][held], y[held]) for i in (0, 1)]
+        if len(fitted) and not free.any() or _ == rounds:
+            break
+        for i, other in ((0, 1), (1, 0)):
+            p = 1 / (1 + np.exp(-fitted[i].logit(pool[i])))
+            sure = np.maximum(p, 1 - p)
+            chosen = np.flatnonzero(free & (sure >= SURE))
+            chosen = chosen[np.argsort(-sure[chosen], kind="stable")][: int(HANDED * len(free)) + 1]
+            free[chosen] = False
+            x[other] = np.vstack([x[other], pool[other][chosen]])
+            target[other] = np.concatenate([target[other], (p[chosen] >= 0.5).astype(float)])
+    return Model((fitted[0], fitted[1]), base)
+
+
+_COLUMNS = ("text", "lang", "source")
+
+
+def _measured(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    text, lang, source = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _COLUMNS)
+    one = np.array([text_view(t) for t in text]).reshape(len(text), TEXT_WIDTH)
+    two = np.array([meta_view(a, b, len(t or ""), (t or "").count("\n") + 1) for t, a, b in zip(text, lang, source, strict=True)]).reshape(len(text), META_WIDTH)
+    return one, two
+
+
+def _share(key: int, share: float) -> Column:
+    return F.pmod(F.xxhash64(F.lit(key), "doc_id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
+    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    chosen = labels.where(_share(21, sample / max(1, labels.count())))
+    rows = docs.select("doc_id", *_COLUMNS)
+    known = rows.join(F.broadcast(chosen), "doc_id")  # at most about `sample` rows of two numbers
+    other = rows.where(_share(22, pool / max(1, rows.count()))).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = _measured(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array([x.astype("<f4").tobytes() for x in one], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in two], pa.binary())], names=["doc_id", "label", "one", "two"])
+
+    got = known.unionByName(other).mapInArrow(run, "doc_id long, label int, one binary, two binary").collect()  # sample + pool rows
+    got.sort(key=lambda x: (str(x.doc_id), x.label, bytes(x.one)))
+    y = np.array([x.label for x in got], np.int64)
+    views = [np.array([np.frombuffer(x[k], "<f4") for x in got], float).reshape(len(got), w) for k, w in (("one", TEXT_WIDTH), ("two", META_WIDTH))]
+    return cotrain([v[y >= 0] for v in views], y[y >= 0], [v[y < 0] for v in views])
+
+
+def scored(docs: DataFrame, model: Model, name: str = "p_quality") -> DataFrame:
+    """docs with the probability of good quality under `name`."""
+    kept = docs.select(*[c for c in docs.columns if c != name])
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.probability(*_measured(part)))], names=[*part.schema.names, name])
+
+    return kept.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs' columns, documents of good quality only."""
+    return scored(docs, fit(docs, labels), "_bw_quality").where(F.col("_bw_quality") >= ACCEPT).select(*docs.columns)
+
+
+def qualities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The query's rows: doc_id, p_quality, accepted."""
+    rows = docs.select("doc_id", *_COLUMNS)
+    return scored(rows, fit(docs, labels)).select("doc_id", "p_quality", (F.col("p_quality") >= ACCEPT).alias("accepted"))

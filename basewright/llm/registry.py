@@ -97,3 +97,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basewright.llm import jaccard
 
     return jaccard.links(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ordinal_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basewright.llm import toxicity
+
+    return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_cotraining_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basewright.llm import cotraining
+
+    return cotraining.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
