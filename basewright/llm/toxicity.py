@@ -45,8 +45,9 @@ class Model:
             return 1 / (1 + np.exp(self.thresholds[None, :] - score[:, None]))
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds for sparse (row, column, value) cells, by Adam on the mean log loss.
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, penalty: float = 1e-3, steps: int = 400, balanced: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds for sparse (row, column, value) cells, by Adam on the mean log loss
+    (balanced: grade 0 and all above it weigh the same).
 
     Thresholds are the first one and the logarithms of the gaps, so they stay in order.
     """
@@ -55,7 +56,7 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     base = np.log((1 - above + 1e-6) / (above + 1e-6))
     p = np.concatenate([np.zeros(width), base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    balance = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
+    balance = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum())) if balanced else np.full(n, 1 / n)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     at = np.arange(n)
     for step in range(1, steps + 1):
