@@ -111,3 +111,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basewright.llm import cotraining
 
     return cotraining.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_suffix_sorting")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basewright.llm import suffixes
+
+    return suffixes.digests(table(spark, sf_dir, "documents"))
