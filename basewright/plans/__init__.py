@@ -2,3 +2,5 @@
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+from basewright.plans import queries  # noqa: E402,F401  registers them
