@@ -34,7 +34,8 @@ def demultiplex(pairs: DataFrame, barcodes: list[tuple[str, str]], mode: int = 2
     rest = lambda c: F.substring(c, n + 1 if mode == 1 else F.lit(1), F.length(c) - n)
     part = lambda c: F.substring(c, F.lit(1) if mode == 1 else F.length(c) - n + 1, n)
     kept = [c for c in pairs.columns if c not in ("seq2", "qual2")]
-    found = pairs.withColumn("_bw", match).where(F.col("_bw").isNotNull())
+    # a generator between: else the optimizer copies the whole match into each column that uses it
+    found = pairs.select("*", F.explode(F.array(match)).alias("_bw")).where(F.col("_bw").isNotNull())
     return found.select(*kept, F.col("_bw.sample").alias("sample"), rest(seq).alias("seq2"), rest(F.col("qual2")).alias("qual2"), part(seq).alias("barcode_seq"), part(F.col("qual2")).alias("barcode_qual"))
 
 
