@@ -1,4 +1,4 @@
-"""Connected components of links between numbers, as tables in the shared folder."""
+"""Connected components of things that share groups, as tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from basewright.llm.common import written
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node of its component) for every node of the edges (a, b), both long.
+def components(members: DataFrame) -> DataFrame:
+    """node, label (the smallest node of its component) from rows (node, grp) of two longs: nodes of a group belong together.
 
-    Each round every node takes the smallest label among its neighbours, then that label's own label; labels
-    travel twice as far each time. A node of very many links is pre-aggregated for each task and its join rows
-    are split by Spark, nothing is gathered for a node. Each round is written, so lost executors cost one round.
+    Each round a group takes the smallest label of its nodes and a node the smallest of its groups, then that
+    label's own label; labels travel twice as far each time. No links are made: a group of n nodes stays n rows. Large
+    groups are pre-aggregated for each task and the rows of their joins are split by Spark. Each round is written, so
+    lost executors cost one round.
     """
-    both = written(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).toDF("a", "b").dropDuplicates(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    members = written(members.select("node", "grp"), "members")
+    label_of = lambda groups: members.join(groups, "grp").groupBy("node").agg(F.min("label").alias("label"))
+    labels = written(label_of(members.groupBy("grp").agg(F.min("node").alias("label"))), "labels")
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+        groups = members.join(labels, "node").groupBy("grp").agg(F.min("label").alias("label"))
+        best = label_of(groups).join(labels.withColumnRenamed("label", "before"), "node")
         best = written(best, "labels")
         jumped = best.join(best.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
         new = written(jumped.select("node", "before", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")

@@ -2,8 +2,7 @@
 
 1. Each text becomes its set of hashed shingles, its 128 MinHash values and 32 band keys of four values each;
    texts with the same set become one node. A pair at 0.8 shares no band with probability 5e-8.
-2. Nodes that share a band key are linked to the smallest of them, and the components of these links are the
-   units of work: every pair that shares a band is inside one.
+2. The components of nodes that share band keys are the units of work: every pair that shares a band is inside one.
 3. A component is compared in tiles of at most TILE by TILE nodes. Pairs are compared by MinHash values in
    rounds; after each, the posterior of the similarity (uniform prior) says how probable it is to reach the
    threshold, and pairs below TOLERANCE are dropped. Those that stay are verified on the exact sets. Tiles hand
@@ -198,9 +197,8 @@ def join(docs: DataFrame, similar: float = SIMILAR, width: int = SHINGLE_WORDS,
     sets = written(sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "first.*", "many", "bands"), "sets")
 
     band = sets.select("node", F.explode("bands").alias("key"))
-    hubs = band.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    candidates = band.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).dropDuplicates()
-    comps = components(candidates).select("node", F.col("label").alias("comp"))
+    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    comps = components(band.join(shared, "key").select("node", F.col("key").alias("grp"))).select("node", F.col("label").alias("comp"))
 
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.expr(f"(n + {tile - 1}) div {tile}").cast("int")
@@ -216,7 +214,7 @@ def join(docs: DataFrame, similar: float = SIMILAR, width: int = SHINGLE_WORDS,
     done = written(spread.withColumn("call", call).groupBy("call").applyInArrow(_tile(similar, width), "node long, links long, root long"), "tiles")
 
     links = done.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(done.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "label")
+    classes = components(done.select("node", F.col("root").alias("grp")).union(done.select("root", "root")))
     known = sets.select("node", "set_key", F.col("doc_id").alias("rep_id"), "many").join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = known.groupBy("label").agg(F.min("rep_id").alias("class_id"))
     known = known.join(lowest, "label").select(F.col("set_key").alias("known_key"), "class_id", "rep_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
