@@ -56,6 +56,10 @@ def _marks(hashes: Column, gram: int) -> Column:
     return F.transform(_places(F.size(hashes), gram), at)
 
 
+def _marks_of(gram: int) -> Callable[[Column], Column]:
+    return lambda hashes: _marks(hashes, gram)
+
+
 def fingerprints(word_list: Column, window: int = WINDOW, gram: int = GRAM, lengths: tuple[int, ...] = ()) -> Column:
     """Winnowed marks of a text, and all marks of grams of the given shorter lengths."""
     width = window - gram + 1
@@ -89,7 +93,7 @@ def item_fingerprints(items: DataFrame, window: int = WINDOW, gram: int = GRAM)
     )
     made = long
     for n in lengths:
-        short = _marked(listed.where(F.size(item) == n), let(F.transform(item, lambda w: F.xxhash64(w)), lambda h, n=n: _marks(h, n)), "item_id", "_bw_item")
+        short = _marked(listed.where(F.size(item) == n), let(F.transform(item, lambda w: F.xxhash64(w)), _marks_of(n)), "item_id", "_bw_item")
         made = made.unionByName(short.select("item_id", "_bw_hash", F.lit(n).alias("need"), F.array().cast("array<string>").alias("before"), item.alias("after")))
     return made, lengths
 
