@@ -1,10 +1,17 @@
 """Removal of repeated multi-line chunks, in DataFrame operations only.
 
-A rolling hash over two neighbouring line hashes is taken at each line; a chunk ends after each line whose
-rolling hash is a strict local minimum (below the one before, not above the one after). That depends on four
-neighbouring lines alone, so boundaries come again after lines were put in elsewhere, and chunks inside a text
-have two lines at least. Chunks of two lines or more whose hash occurs more than once are compared by their
-bytes; of equal ones the first stays: the one in the smallest doc_id, there the topmost. All others go.
+The query and the pipeline take rolling chunks (`rolling=True`): one at each line that isn't blank, from it to the
+next such line, so that neighbours share a line. A run of two such lines or more that stands in an earlier place
+is made of chunks that stand there too, and goes whole, wherever it starts and however short it is. A line
+that goes stands in an earlier place each time, so some place of it always stays.
+
+Without `rolling`, chunks don't overlap: a rolling hash over two neighbouring line hashes is taken at each line; a
+chunk ends after each line whose rolling hash is a strict local minimum (below the one before, not above the one
+after). That depends on four neighbouring lines alone, so boundaries come again after lines were put in elsewhere,
+but a passage that holds no two boundaries isn't found, nor are the ends of any other.
+
+Chunks of two lines or more whose hash occurs more than once are compared by their bytes; of equal ones the first
+stays: the one in the smallest doc_id, there the topmost. All others go, but for those that overlap the first.
 
 Only chunks with a repeated hash carry their text into a shuffle. Groups are pre-aggregated for each task, and
 the join that brings the first owner back has no aggregate on its stage, so that Spark can split a hot chunk.
@@ -45,35 +52,50 @@ def _chunk_list(lines: Column) -> Column:
     return let(hashes, lambda h: let(roll(h), cut))
 
 
+def _rolling_list(lines: Column) -> Column:
+    """Rolling chunks of a text, as _chunk_list has them: from each line that isn't blank to the next such line."""
+
+    def cut(at: Column) -> Column:
+        later = F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0)))
+        return F.transform(later, lambda end, k: F.struct(k.alias("k"), F.get(at, k).alias("start"), (end - F.get(at, k) + 1).alias("n")))
+
+    marked = F.transform(lines, lambda x, i: F.when(F.btrim(x, F.lit(" \t\r")) != "", i))
+    return let(F.filter(marked, lambda i: i.isNotNull()), cut)
+
+
+def _list(lines: Column, rolling: bool) -> Column:
+    return _rolling_list(lines) if rolling else _chunk_list(lines)
+
+
 def _texts(lines: Column, chunks: Column) -> Column:
     """Chunks with their text's hash and text."""
-    whole = F.transform(chunks, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n").alias("text")))
-    return F.transform(whole, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), F.xxhash64(c["text"]).alias("hash"), c["text"].alias("text")))
+    whole = F.transform(chunks, lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n").alias("text")))
+    return F.transform(whole, lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(c["text"]).alias("hash"), c["text"].alias("text")))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, rolling: bool) -> DataFrame:
     """A row for each chunk of LEAST_LINES lines or more; `again`: a chunk above in the same text is equal."""
-    made = let(F.split("text", "\n"), lambda lines: let(_texts(lines, _chunk_list(lines)), lambda all_: _local(all_)))
+    made = let(F.split("text", "\n"), lambda lines: let(_texts(lines, _list(lines, rolling)), lambda all_: _local(all_)))
     own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.explode(made).alias("c"))
     return own.select("doc", "row", "c.*")
 
 
 def _local(chunks: Column) -> Column:
-    """Multi-line chunks of a text, each with whether its first equal hash has the same text and stands above."""
+    """Multi-line chunks of a text, each with whether its first equal hash has the same text and ends above."""
 
     def each(hashes: Column) -> Column:
         def one(c: Column) -> Column:
             first = F.get(chunks, F.array_position(hashes, c["hash"]).cast("int") - 1)
-            return F.struct(c["k"].alias("k"), c["hash"].alias("hash"), c["text"].alias("text"), ((first["k"] < c["k"]) & (first["text"] == c["text"])).alias("again"))
+            return F.struct(c["k"].alias("k"), c["hash"].alias("hash"), c["text"].alias("text"), ((first["start"] + first["n"] <= c["start"]) & (first["text"] == c["text"])).alias("again"))
 
         return F.transform(F.filter(chunks, lambda c: c["n"] >= LEAST_LINES), one)
 
     return let(F.transform(chunks, lambda c: c["hash"]), each)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, rolling: bool = False) -> DataFrame:
     """For each text with something to remove its doc, row (hash of the text) and the numbers of the chunks that go."""
-    rows = _rows(docs.select("doc_id", "text").where("text IS NOT NULL"))
+    rows = _rows(docs.select("doc_id", "text").where("text IS NOT NULL"), rolling)
     repeated = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("hash")
     if repeated.count() <= BROADCAST_ROWS:
         repeated = F.broadcast(repeated)
@@ -83,16 +105,18 @@ def removals(docs: DataFrame) -> DataFrame:
     return goes.groupBy("doc", "row").agg(F.collect_set("k").alias("gone"))
 
 
-def line_deduplicated(docs: DataFrame) -> DataFrame:
+def line_deduplicated(docs: DataFrame, rolling: bool = False) -> DataFrame:
     """docs with `text` without its repeated chunks, and `n_lines`, `n_removed` (lines) long."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removals(docs).withColumnsRenamed({"doc": "_bw_doc", "row": "_bw_row", "gone": "_bw_gone"})
+    gone = removals(docs, rolling).withColumnsRenamed({"doc": "_bw_doc", "row": "_bw_row", "gone": "_bw_gone"})
     keyed = docs.select(*kept).withColumn("_bw_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("_bw_hash", F.xxhash64("text"))
     met = keyed.join(gone, (F.col("_bw_id") == F.col("_bw_doc")) & (F.col("_bw_hash") == F.col("_bw_row")), "left")
 
     def stay(lines: Column) -> Column:
-        left = F.filter(_chunk_list(lines), lambda c: ~F.array_contains("_bw_gone", c["k"]))
-        return F.flatten(F.transform(left, lambda c: F.slice(lines, c["start"] + 1, c["n"])))
+        gone = F.filter(_list(lines, rolling), lambda c: F.array_contains("_bw_gone", c["k"]))
+        places = F.flatten(F.transform(gone, lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+        return F.transform(left, lambda i: F.get(lines, i))
 
     left = F.when(F.col("_bw_gone").isNotNull(), let(F.split("text", "\n"), stay))
     met = met.withColumn("_bw_left", left).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
@@ -103,7 +127,7 @@ def line_deduplicated(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs' columns with the new text, `n_chars` brought up to date; texts that lost everything are left out."""
-    out = line_deduplicated(docs).where("n_removed = 0 OR trim(text) <> ''")
+    out = line_deduplicated(docs, rolling=True).where("n_removed = 0 OR trim(text) <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns) if not {"n_lines", "n_removed"} & set(docs.columns) else out.drop("n_lines", "n_removed").join(docs.select("doc_id", *({"n_lines", "n_removed"} & set(docs.columns))).dropDuplicates(["doc_id"]), "doc_id", "left").select(*docs.columns)
@@ -111,6 +135,6 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """A row for each document: lines, lines removed, and what is left by size and digest."""
-    out = line_deduplicated(docs.select("doc_id", "text"))
+    out = line_deduplicated(docs.select("doc_id", "text"), rolling=True)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", F.char_length(text).cast("long").alias("kept_chars"), F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"))

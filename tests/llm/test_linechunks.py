@@ -75,3 +75,44 @@ def test_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "a\nb\nc", 9, "s")], "doc_id long, text string, n_lines int, hash string")
     assert linechunks.cleaned(df).collect() == df.collect()
     assert linechunks.digests(df.limit(0)).count() == 0
+
+
+def rolling(rows):
+    """Rolling chunks by plain loops over rows of different doc_ids."""
+    first, out = {}, []
+    for doc, text in sorted(rows):
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip(" \t\r")]
+        gone = set()
+        for a, b in zip(at, at[1:]):
+            owner, end = first.setdefault(tuple(lines[a : b + 1]), (doc, b))
+            if owner < doc or end < a:
+                gone |= set(range(a, b + 1))
+        out.append((doc, len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return out
+
+
+def test_short_shared_passages_go_whole(spark):
+    rnd = random.Random(5)
+    line = lambda: " ".join(str(rnd.random()) for _ in range(4))
+    rows, shared = [], 0
+    for n in range(2, 7):
+        for _ in range(12):
+            passage = [line() for _ in range(n)]
+            for _ in range(2):
+                own = [line() for _ in range(rnd.randint(2, 8))]
+                at = rnd.randint(0, len(own))
+                rows.append((len(rows), "\n".join(own[:at] + passage + own[at:])))
+            shared += n
+    got = linechunks.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(x.n_removed for x in got) == shared
+    assert all(x.n_removed == (0 if x.doc_id % 2 == 0 else 2 + x.doc_id // 24) for x in got)
+
+
+def test_rolling_chunks_against_plain_version(spark):
+    rnd = random.Random(6)
+    rows = [(i, "\n".join(rnd.choice(["a", "b", "c", "é", "", " ", f"own {i}", f"{rnd.random()}"]) for _ in range(rnd.randint(0, 14)))) for i in range(80)]
+    rows += [(100, "x\nx\nx\nx"), (101, "\n\n\n"), (102, ""), (103, "p\n\n\n\nq\n\n\n\nr")]
+    got = [(x.doc_id, x.n_lines, x.n_removed, x.text) for x in linechunks.line_deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), rolling=True).collect()]
+    assert sorted(got) == sorted(rolling(rows))
+    assert {x[0]: x[2] for x in got}[100] == 2 and {x[0]: x[2] for x in got}[103] == 0
