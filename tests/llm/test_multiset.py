@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,14 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted((x.doc_id, x.n_chars) for x in got if x.doc_id) == [(4, 4), (4, 4), (4, 5), (9, 0)]
     assert len(got) == 6 and len({x.fingerprint for x in got if x.n_chars == 4}) == 1
     assert multiset.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_edited_texts_without_marks_stay_alike(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    east = lambda n: "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    texts = [" ".join(word(rnd.randint(2, 9)) for _ in range(n)) + end for n, end in ((30, "."), (40, "!"), (400, ""), (3000, ""))] + [word(900), word(4000), east(200), "   "]
+    rows = [(i, t) for i, t in enumerate(x for t in texts for x in (t, " ".join(word(6) for _ in range(60))))]
+    got = {x.doc_id: x for x in multiset.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, _ in rows[:-2:2]:
+        assert got[i].near_edited > 0.35 > got[i].near_next and got[i].near_edited - got[i].near_next > 0.2, i
