@@ -10,7 +10,7 @@ The benchmark's fingerprints are broadcast when counted to be at most BROADCAST_
 Spark joins them by shuffles. Documents are scanned twice; their texts are shuffled once, to meet the hits.
 
 Defined results. Null and wordless texts have no words, no hits and no items; wordless items never occur. Equal
-items and items that repeat an id each count by id; null item ids aren't listed. Rows that repeat a doc_id, or
+items and items that repeat an id each count by id; items without an id hit like others, but aren't listed or counted. Rows that repeat a doc_id, or
 have none, are decided each by its own text. An empty benchmark leaves every document clean, no documents give
 no rows.
 """
@@ -80,7 +80,7 @@ def _marked(rows: DataFrame, marks: Column, *kept: str) -> DataFrame:
 
 def item_fingerprints(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, tuple[int, ...]]:
     """A row for each kept gram of each item with the words around it, and the lengths of short items."""
-    listed = items.select(F.col("item_id"), words(F.col("text")).alias("_bw_item")).where("item_id IS NOT NULL AND size(_bw_item) > 0").dropDuplicates()
+    listed = items.select(F.col("item_id"), words(F.col("text")).alias("_bw_item")).where("size(_bw_item) > 0").dropDuplicates()
     lengths = tuple(sorted(x[0] for x in listed.where(F.size("_bw_item") < window).select(F.size("_bw_item")).distinct().collect()))
     back = window - gram
     at, item = F.col("_bw_at"), F.col("_bw_item")
@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         *kept,
         "n_words",
         F.coalesce(F.array_distinct(F.transform("_bw_found", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to")))), F.array().cast("array<struct<from:int,to:int>>")).alias("spans"),
-        F.coalesce(F.array_distinct(F.transform("_bw_found", lambda s: s["item_id"])), F.array().cast(f"array<{items.schema['item_id'].dataType.simpleString()}>")).alias("items"),
+        F.coalesce(F.array_distinct(F.filter(F.transform("_bw_found", lambda s: s["item_id"]), lambda x: x.isNotNull())), F.array().cast(f"array<{items.schema['item_id'].dataType.simpleString()}>")).alias("items"),
     )
 
 

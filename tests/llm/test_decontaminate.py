@@ -59,3 +59,12 @@ def test_clean_keeps_columns(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, docs.where("doc_id IS NULL OR doc_id = 2").collect()), key=str)
     assert decontaminate.digests(docs.select("doc_id", "text"), items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.digests(docs.limit(0), items).count() == 0
+
+
+def test_items_without_id_hit(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "clean words"), (3, "a short one here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, "short one")], "item_id long, text string")
+    got = {x.doc_id: (x.n_hit, x.n_items, x.items_sha256 == hashlib.sha256(b"").hexdigest(), x.contaminated) for x in decontaminate.digests(docs, items).collect()}
+    assert got == {1: (11, 0, True, True), 2: (0, 0, True, False), 3: (2, 0, True, True)}
+    assert [x.doc_id for x in decontaminate.clean(docs, items).collect()] == [2]
