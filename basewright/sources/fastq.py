@@ -16,7 +16,7 @@ import os
 from collections.abc import Iterator
 from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -147,9 +147,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).toDF("name")
 
 
+#: Barcodes or adapters in a file at most; more raise.
+MOST_LISTED = 100_000
+
+
+def _listed(rows: DataFrame) -> list[Row]:
+    got = rows.limit(MOST_LISTED + 1).collect()
+    if len(got) > MOST_LISTED:
+        raise ValueError(f"more than {MOST_LISTED} entries in the list")
+    return got
+
+
 def read_barcodes(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """The table of barcodes, small by its nature, in the order of the file."""
-    rows = [x.value.split("\t") for x in numbered_lines(spark, path).where("value <> ''").orderBy("line_no").limit(100_000).collect()]
+    rows = [x.value.split("\t") for x in _listed(numbered_lines(spark, path).where("value <> ''").orderBy("line_no"))]
     if any(len(x) < 2 for x in rows):
         raise ValueError("each line needs a barcode, a tab and a sample")
     return [(x[0], x[1]) for x in rows]
@@ -157,7 +168,7 @@ def read_barcodes(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 def read_adapters(spark: SparkSession, path: str) -> list[str]:
     register(spark)
-    return [x.seq for x in spark.read.format("fasta").load(path).orderBy("ord").limit(100_000).collect()]
+    return [x.seq for x in _listed(spark.read.format("fasta").load(path).orderBy("ord"))]
 
 
 def write_lines(lines: DataFrame, path: str, codec: str = "none", mode: str = "overwrite") -> None:
