@@ -46,7 +46,8 @@ def quality_at_least(qual: Column, least: int, phred: int) -> Column:
 def mean_quality(qual: Column, phred: int) -> Column:
     """Quality of the mean error probability, rounded; null for an empty read."""
     check_offset(phred)
-    total = F.aggregate(letters(qual), F.lit(0.0), lambda acc, c: acc + F.pow(F.lit(10.0), (F.ascii(c) - phred) / F.lit(-10.0)))
+    errors = F.array(*[F.lit(10 ** ((phred - c) / 10)) for c in range(128)])  # by letter, looked up instead of computed
+    total = F.aggregate(letters(qual), F.lit(0.0), lambda acc, c: acc + F.coalesce(F.get(errors, F.ascii(c)), F.lit(0.0)))
     return F.round(-10 * F.log10(F.try_divide(total, F.length(qual).cast("double"))))
 
 
@@ -74,13 +75,6 @@ def mismatches(seq: Column, start: Column, pattern: str) -> Column:
     return total
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing places over the shorter length."""
-    n = F.least(F.length(a), F.length(b))
-    pairs = F.zip_with(letters(F.left(a, n)), letters(F.left(b, n)), lambda x, y: (x != y).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
-
-
 def tokens(name: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")
 
@@ -91,7 +85,8 @@ def first_token(name: Column) -> Column:
 
 def other_tokens(name: Column) -> Column:
     """A space and the tokens after the first, joined by single spaces; nothing if there are none."""
-    rest = F.array_join(F.slice(tokens(name), 2, 1_000_000), " ")
+    every = tokens(name)
+    rest = F.array_join(F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0))), " ")
     return F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise("")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from basewright.functions import exprs as X
 from basewright.functions.exprs import C
@@ -64,9 +65,8 @@ def lengths(reads: DataFrame) -> DataFrame:
 def gc_histogram(reads: DataFrame) -> DataFrame:
     """101 rows: reads by GC percentage, and their share in percent to two places."""
     counts = reads.groupBy(X.gc_bucket(C.seq).alias("gc")).agg(F.count(F.lit(1)).alias("n"))
-    total = reads.agg(F.count(F.lit(1)).alias("total"))
     every = reads.sparkSession.range(0, 101, 1, 1).select(F.col("id").cast("int").alias("gc"))
-    filled = every.join(counts, "gc", "left").crossJoin(total)  # one row
+    filled = every.join(counts, "gc", "left").withColumn("total", F.sum("n").over(W.partitionBy()))  # 101 rows
     n = F.coalesce("n", F.lit(0))
     return filled.select("gc", n.alias("reads"), F.coalesce(F.round(F.try_divide(n * F.lit(10000.0), F.col("total").cast("double"))) / 100, F.lit(0.0)).alias("ratio"))
 

@@ -55,18 +55,30 @@ def best_overlap(one: np.ndarray, two: np.ndarray, least: int, rate: float) -> t
     return found, wrong
 
 
+def _merged(found: np.ndarray, a: np.ndarray, qa: np.ndarray, b: np.ndarray, qb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merged bases and qualities of rows of letters, all rows of one overlap length at once; None without overlap."""
+    seq, qual = np.full(len(found), None, object), np.full(len(found), None, object)
+    for length in np.unique(found[found > 0]).tolist():
+        rows = np.flatnonzero(found == length)
+        cut = a.shape[1] - length
+        own = qa[rows, cut:] >= qb[rows, :length]
+        for out, x, y in ((seq, a, b), (qual, qa, qb)):
+            whole = np.ascontiguousarray(np.hstack([x[rows, :cut], np.where(own, x[rows, cut:], y[rows, :length]), y[rows, length:]]))
+            out[rows] = whole.view(f"S{whole.shape[1]}").ravel().astype(str)
+    return seq, qual
+
+
 def join_overlap(pairs: DataFrame, least: int = 30, rate: float = 0.1) -> DataFrame:
     """pairs with `overlap`, `mismatches` and, where there is one, the merged `seq` and `qual`.
 
     Lengths are tried from the longest, for all pairs of a batch at once; at each place of the overlap the base of
-    the higher quality letter stays, the first mate's where both are equal.
+    the higher quality letter stays, the first mate's where both are equal. Reads are ASCII.
     """
     schema = "overlap int, mismatches int, seq string, qual string"
 
     @F.pandas_udf(schema)
     def merged(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        letters = lambda rows: np.array([x.encode("latin-1") for x in rows]).view(np.uint8).reshape(len(rows), -1)
-        text = lambda x: x.tobytes().decode("latin-1")
+        letters = lambda rows: np.frombuffer("".join(rows).encode("ascii"), np.uint8).reshape(len(rows), -1)
         for s1, q1, s2, q2 in batches:
             out = {c: np.zeros(len(s1), np.int32) for c in ("overlap", "mismatches")} | {c: np.full(len(s1), None, object) for c in ("seq", "qual")}
             known = (s1.notna() & q1.notna() & s2.notna() & q2.notna()).to_numpy()
@@ -80,15 +92,13 @@ def join_overlap(pairs: DataFrame, least: int = 30, rate: float = 0.1) -> DataFr
                     raise ValueError("bases and qualities differ in length")
                 found, wrong = best_overlap(a, b, least, rate)
                 out["overlap"][rows], out["mismatches"][rows] = found, wrong
-                for k in np.flatnonzero(found):
-                    cut, n = a.shape[1] - found[k], found[k]
-                    own = qa[k, cut:] >= qb[k, :n]
-                    out["seq"][rows[k]] = text(a[k, :cut]) + text(np.where(own, a[k, cut:], b[k, :n])) + text(b[k, n:])
-                    out["qual"][rows[k]] = text(qa[k, :cut]) + text(np.where(own, qa[k, cut:], qb[k, :n])) + text(qb[k, n:])
+                out["seq"][rows], out["qual"][rows] = _merged(found, a, qa, b, qb)
             yield pd.DataFrame(out)
 
     made = merged("seq1", "qual1", X.complement(F.col("seq2")), F.reverse("qual2"))
-    return pairs.withColumn("_bw", made).select(*pairs.columns, F.col("_bw.overlap"), F.col("_bw.mismatches"), F.col("_bw.seq"), F.col("_bw.qual"))
+    # a generator between: else a filter on the result makes the optimizer run the function twice
+    joined = pairs.withColumn("_bw_made", made).select("*", F.explode(F.array("_bw_made")).alias("_bw"))
+    return joined.select(*pairs.columns, F.col("_bw.overlap"), F.col("_bw.mismatches"), F.col("_bw.seq"), F.col("_bw.qual"))
 
 
 def join_summary(joined: DataFrame) -> DataFrame:

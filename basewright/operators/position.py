@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from basewright.functions.exprs import C
+from basewright.shared import written
 
 
 
@@ -51,13 +54,14 @@ def interleave(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def concat(files: list[DataFrame]) -> DataFrame:
-    """Files one after another; numbers go on from file to file."""
+    """Files one after another; numbers go on from file to file. One job counts all files but the last."""
     if not files:
         raise ValueError("no files")
+    ends = [f.agg(F.coalesce(F.max("read_idx") + 1, F.lit(0)).alias("n")).select(F.lit(i).alias("i"), "n") for i, f in enumerate(files[:-1])]
+    size = dict(reduce(DataFrame.unionByName, ends).collect()) if ends else {}
     out, offset = files[0], 0
-    for before, file in zip(files, files[1:], strict=False):
-        last = before.agg(F.max("read_idx")).first()[0]
-        offset += 0 if last is None else last + 1
+    for i, file in enumerate(files[1:]):
+        offset += size[i]
         out = out.unionByName(file.withColumn("read_idx", C.read_idx + offset))
     return out
 
@@ -82,9 +86,12 @@ def sort_reads(reads: DataFrame, key: str, descending: bool = False) -> DataFram
 def renumbered(ordered: DataFrame, name: str = "rank") -> DataFrame:
     """An ordered table with gapless numbers in that order: counts of partitions, then numbers inside each.
 
+    The sort runs once: the ordered rows are written to the shared folder with their partition and place, and
+    both the counts and the result are read from there. A second run of the sort could cut its ranges elsewhere.
     Nothing is gathered: the number of a row is its place in its partition after the rows of earlier ones.
     """
-    placed = ordered.withColumn("_bw_mono", F.monotonically_increasing_id())
+    mono = F.monotonically_increasing_id()
+    placed = written(ordered.select("*", mono.alias("_bw_mono")), "ordered")
     part = F.shiftright("_bw_mono", 33)
     counts = placed.groupBy(part.alias("_bw_part")).agg(F.count(F.lit(1)).alias("_bw_n"))
     first = counts.select(F.col("_bw_part"), (F.sum("_bw_n").over(W.orderBy("_bw_part")) - F.col("_bw_n")).alias("_bw_first"))

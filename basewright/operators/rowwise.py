@@ -43,8 +43,8 @@ def rescore(reads: DataFrame, to33: bool = False, to64: bool = False) -> DataFra
     """Move qualities between the offsets 33 and 64 (31 apart)."""
     if to33 == to64:
         raise ValueError("choose one of to33 and to64")
-    shift = -31 if to33 else 31
-    return reads.withColumn("qual", F.array_join(F.transform(X.letters(C.qual), lambda c: F.chr(F.ascii(c) + shift)), ""))
+    shift, letters = -31 if to33 else 31, range(32, 225)
+    return reads.withColumn("qual", F.translate(C.qual, "".join(map(chr, letters)), "".join(chr(c + shift) for c in letters)))
 
 
 def reverse(reads: DataFrame, only: bool = False) -> DataFrame:
@@ -74,8 +74,12 @@ def fasta_lines(fasta: DataFrame) -> DataFrame:
     return fasta.select("read_idx", F.concat(F.lit(">"), C.id, F.lit("\n"), C.seq).alias("value"))
 
 
+def fastq_line() -> Column:
+    return F.concat(F.lit("@"), C.id, F.lit("\n"), C.seq, F.lit("\n+\n"), C.qual)
+
+
 def fastq_lines(reads: DataFrame) -> DataFrame:
-    return reads.select("read_idx", F.concat(F.lit("@"), C.id, F.lit("\n"), C.seq, F.lit("\n+\n"), C.qual).alias("value"))
+    return reads.select("read_idx", fastq_line().alias("value"))
 
 
 def sam_header(sample: str, group: str = "A", library: str | None = None, platform: str | None = None) -> str:

@@ -9,10 +9,10 @@ from basewright.functions.exprs import seeded_order
 
 
 def sample(reads: DataFrame, n: int, seed: int = 69) -> DataFrame:
-    """Exactly n reads (all if fewer), uniformly; each task hands on its n smallest at most."""
+    """Exactly n reads (all if fewer), uniformly, in the order of the file; each task hands on its n smallest at most."""
     if n < 1:
         raise ValueError("n must be positive")
-    return reads.orderBy(seeded_order(seed, F.col("read_idx")), "read_idx").limit(n)
+    return reads.orderBy(seeded_order(seed, F.col("read_idx")), "read_idx").limit(n).orderBy("read_idx")
 
 
 def shuffled(reads: DataFrame, seed: int = 69) -> DataFrame:

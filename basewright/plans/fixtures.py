@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basewright.shared import fresh_path
+
 _COMMON = """WITH b AS (
   SELECT CAST(o_orderkey AS BIGINT) AS read_idx, CAST(o_orderkey AS {S}) AS k,
          CAST(o_orderkey % 49 AS INT) AS m49, CAST(o_orderkey % 67 AS INT) AS m67 FROM orders),
@@ -43,8 +45,21 @@ def oracle(select: str) -> str:
     return _COMMON.replace("{S}", "VARCHAR") + select
 
 
+#: Tables written by `keep`, by folder of the driver's tables and name.
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def keep(spark: SparkSession, sf_dir: str, name: str) -> None:
+    """Write one of those tables, so that queries read it instead of deriving it each time (for timings)."""
+    path = fresh_path(spark, name)
+    made(spark, sf_dir, name).write.parquet(path)
+    _KEPT[sf_dir, name] = path
+
+
 def made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of those tables."""
+    if (sf_dir, name) in _KEPT:
+        return spark.read.parquet(_KEPT[sf_dir, name])
     sql = _COMMON.replace("{S}", "STRING").replace("FROM orders", "FROM {orders}")
     return spark.sql(sql + f"SELECT * FROM {name}", orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 

@@ -39,7 +39,7 @@ reads("view_page", lambda r: position.page(r, 3, 42), f"SELECT {ROW} FROM reads
 reads("split_r1", lambda r: position.split_interleaved(r)[0], "SELECT read_idx // 2 AS read_idx, id, seq, qual FROM reads WHERE read_idx % 2 = 0")
 reads("split_r2", lambda r: position.split_interleaved(r)[1], "SELECT read_idx // 2 AS read_idx, id, seq, qual FROM reads WHERE read_idx % 2 = 1")
 reads("split2", lambda r: position.split_chunks(r, 400).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("read_idx").alias("first_read")), "SELECT read_idx // 400 AS chunk, count(*) AS n, min(read_idx) AS first_read FROM reads GROUP BY 1")
-reads("concat", lambda r: position.concat([r.where("read_idx < 700"), r.where("read_idx < 500")]), "SELECT read_idx, id, seq, qual FROM reads WHERE read_idx < 700 UNION ALL SELECT read_idx + (SELECT max(read_idx) + 1 FROM reads WHERE read_idx < 700) AS read_idx, id, seq, qual FROM reads WHERE read_idx < 500")
+over("pairs", "concat", lambda p: position.concat(list(mates(p))), "SELECT read_idx, id1 AS id, seq1 AS seq, qual1 AS qual FROM pairs UNION ALL SELECT read_idx + (SELECT max(read_idx) + 1 FROM pairs) AS read_idx, id2 AS id, seq2 AS seq, qual2 AS qual FROM pairs")
 reads("concat_whole", lambda r: position.concat([r, r]), f"SELECT {ROW} FROM reads UNION ALL SELECT read_idx + (SELECT max(read_idx) + 1 FROM reads) AS read_idx, id, seq, qual FROM reads")
 over("pairs", "merge", lambda p: position.interleave(*mates(p)), "SELECT 2 * read_idx AS read_idx, id1 AS id, seq1 AS seq, qual1 AS qual FROM pairs UNION ALL SELECT 2 * read_idx + 1, id2, seq2, qual2 FROM pairs")
 

@@ -1,10 +1,14 @@
-"""Text reports and SVG figures from small results (a row, 101 rows, or a row for each place in a read)."""
+"""Text reports and figures from small results (a row, 101 rows, or a row for each place in a read)."""
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 COLOURS = {"a": "#2b83ba", "t": "#d7191c", "g": "#1a9641", "c": "#fdae61", "n": "#7f7f7f"}
 
@@ -32,8 +36,9 @@ def length_text(lengths: DataFrame, descending: bool = False) -> str:
     return _table(("lenth", "count"), rows)  # the report's header is spelled so
 
 
-def gc_text(histogram: DataFrame) -> str:
-    return _table(("GC(%)", "Reads", "Ratio(%)"), sorted(histogram.collect()))
+def gc_text(histogram: DataFrame | list[Row]) -> str:
+    rows = histogram if isinstance(histogram, list) else histogram.collect()
+    return _table(("GC(%)", "Reads", "Ratio(%)"), sorted(rows))
 
 
 def cycle_text(bases: DataFrame, qualities: DataFrame) -> str:
@@ -45,10 +50,9 @@ def cycle_text(bases: DataFrame, qualities: DataFrame) -> str:
     return _table(["cycle", *"ATGCN", *range(top + 1)], rows)
 
 
-def svg_lines(series: dict[str, list[float]], width: int = 960, height: int = 540, ylim: float = 100.0, title: str = "") -> str:
-    """A line for each series over its places, from 0 to ylim."""
-    if not 0 < ylim <= 100:
-        raise ValueError("ylim must be above 0 and at most 100")
+def svg_lines(series: dict[str, list[float]], width: int = 960, height: int = 540, ylim: float = 100.0, title: str = "", first: int = 1) -> str:
+    """A line for each series over its places (from `first`), from 0 to ylim."""
+    check_figure("svg", ylim)
     n = max((len(v) for v in series.values()), default=1)
     left, top, w, h = 60, 40, width - 90, height - 90
     x = lambda i: left + w * i / max(1, n - 1)
@@ -57,7 +61,7 @@ def svg_lines(series: dict[str, list[float]], width: int = 960, height: int = 54
     for k in range(6):
         out.append(f'<line x1="{left}" x2="{left + w}" y1="{y(ylim * k / 5):.1f}" y2="{y(ylim * k / 5):.1f}" stroke="#dddddd"/><text x="{left - 8}" y="{y(ylim * k / 5) + 4:.1f}" text-anchor="end">{ylim * k / 5:g}</text>')
     for i in range(0, n, max(1, n // 10)):
-        out.append(f'<text x="{x(i):.1f}" y="{top + h + 18}" text-anchor="middle">{i + 1}</text>')
+        out.append(f'<text x="{x(i):.1f}" y="{top + h + 18}" text-anchor="middle">{i + first}</text>')
     for k, (name, values) in enumerate(series.items()):
         colour = COLOURS.get(name.lower(), "#2b83ba")
         points = " ".join(f"{x(i):.1f},{y(v):.1f}" for i, v in enumerate(values))
@@ -65,6 +69,61 @@ def svg_lines(series: dict[str, list[float]], width: int = 960, height: int = 54
     return "\n".join([*out, "</svg>"]) + "\n"
 
 
+def check_figure(kind: str, ylim: float) -> str:
+    if kind not in ("png", "svg"):
+        raise ValueError("the figure's type must be png or svg")
+    if not 0 < ylim <= 100:
+        raise ValueError("ylim must be above 0 and at most 100")
+    return kind
+
+
+def png_lines(series: dict[str, list[float]], width: int = 960, height: int = 540, ylim: float = 100.0, title: str = "") -> bytes:
+    """The same lines as an image of width by height; the title goes into the file's text."""
+    image = np.full((height, width, 3), 255, np.uint8)
+    n = max((len(v) for v in series.values()), default=1)
+    left, top, w, h = 60, 40, width - 90, height - 90
+    for k in range(6):
+        image[top + h * k // 5, left : left + w] = 221
+    for name, values in series.items():
+        colour = [int(COLOURS.get(name.lower(), "#2b83ba")[i : i + 2], 16) for i in (1, 3, 5)]
+        x = left + w * np.arange(len(values)) / max(1, n - 1)
+        y = top + h * (1 - np.minimum(np.array(values, float), ylim) / ylim)
+        at = np.linspace(x[0], x[-1], 4 * width) if len(values) else np.empty(0)
+        on = np.interp(at, x, y).round().astype(int) if len(values) else np.empty(0, int)
+        column = np.clip(at.round().astype(int), 0, width - 1)
+        steps = np.abs(np.diff(on, prepend=on[:1])).max(initial=0) + 2
+        for k in range(steps):  # steep parts are drawn as upright strokes
+            lower, upper = np.minimum(on, np.roll(on, 1)), np.maximum(on, np.roll(on, 1))
+            if len(on):
+                lower[0] = upper[0] = on[0]
+            image[np.clip(np.minimum(lower + k, upper + 1), 0, height - 1), column] = colour
+    rows = b"".join(b"\0" + x.tobytes() for x in image)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"Title\0" + title.encode("latin-1", "replace")) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def figure(series: dict[str, list[float]], kind: str, width: int, height: int, ylim: float, title: str, first: int = 1) -> bytes:
+    check_figure(kind, ylim)
+    return png_lines(series, width, height, ylim, title) if kind == "png" else svg_lines(series, width, height, ylim, title, first).encode()
+
+
+def terminal_chart(series: dict[str, list[float]], ylim: float = 100.0, columns: int = 100, lines: int = 20) -> str:
+    """The lines as letters: each series by the first letter of its name."""
+    grid = [[" "] * columns for _ in range(lines)]
+    for name, values in series.items():
+        for i, v in enumerate(values):
+            grid[lines - 1 - int(min(v, ylim) / ylim * (lines - 1))][i * columns // max(1, len(values))] = name[0].upper()
+    return "".join(f"{ylim * (lines - 1 - k) / (lines - 1):6.1f} |{''.join(row)}\n" for k, row in enumerate(grid))
+
+
+def read_cycles(spark: SparkSession, path: str) -> dict[str, list[float]]:
+    """Percentages of the five letters by place from a cycle report, as `cycle_text` writes it."""
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n")).alias("line")).where("line LIKE 'cyc%:(%'").collect()  # a row for each place in a read
+    rows = sorted((int(x[0][3:]), [float(y.split("(")[1].rstrip("%)")) for y in x[1:6]]) for x in (r.line.split("\t") for r in lines))
+    return {b: [x[1][i] for x in rows] for i, b in enumerate("ATGCN")}
+
+
 def plot_cycles(bases: DataFrame, **options) -> str:
     rows = sorted(bases.collect())
     return svg_lines({b.upper(): [x[f"{b}_pct"] or 0.0 for x in rows] for b in "atgcn"}, title="Bases by place (%)", **options)

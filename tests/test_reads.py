@@ -125,5 +125,5 @@ def test_stream_and_command_line(spark, reads, tmp_path):
         streaming.start(stream, "tail", "memory", f"{tmp_path}/c3")
     (tmp_path / "x.fq").write_text(TEXT)
     assert cli.run(spark, "size", f"{tmp_path}/x.fq").startswith("reads:3\tbases:12")
-    assert cli.run(spark, "fq2fa", f"{tmp_path}/x.fq", f"{tmp_path}/x.fa") == 3
+    assert cli.run(spark, "fq2fa", f"{tmp_path}/x.fq", "-o", f"{tmp_path}/x.fa") == 3
     assert fastq.read_adapters(spark, f"{tmp_path}/x.fa") == ["ACGTN", "acgtACGTAC", "N"]
