@@ -1,46 +1,30 @@
-"""What the corpus operators share: a shared work folder, written intermediate tables, word shingles."""
+"""What the corpus operators share: written intermediate tables, sizes of partitions, seeded samples, word shingles."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from basewright.shared import discard, fresh_path, work_folder, written  # noqa: F401  used by the operators
 
 #: Words in a shingle, and the Jaccard similarity from which two texts count as near duplicates.
 SHINGLE_WORDS = 5
 SIMILAR = 0.8
 
-_OWN: dict[str, str] = {}
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if "path" not in _OWN:
-        _OWN["path"] = tempfile.mkdtemp(prefix="basewright-")
-    return _OWN["path"]
-
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; the file system deletes it when the session ends."""
-    path = f"{work_folder(spark)}/basewright/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+def dealt(df: DataFrame, total_bytes: int, *by: str, part_bytes: int = 64 << 20) -> DataFrame:
+    """df by hash of columns into as many partitions as its counted bytes ask for, the session's number at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-total_bytes // part_bytes)), *by)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def in_share(share: float, seed: int, *columns: str) -> Column:
+    """Whether a row's 64-bit hash falls into a share (0 to 1) of all hashes; rows equal in `columns` decide alike."""
+    bound = min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+    return F.lit(share >= 1) | (F.xxhash64(F.lit(seed), *columns) < F.lit(bound))
 
 
 _WORD = re.compile(r"\w+")
