@@ -13,13 +13,16 @@ but a passage that holds no two boundaries isn't found, nor are the ends of any
 Chunks of two lines or more whose hash occurs more than once are compared by their bytes; of equal ones the first
 stays: the one in the smallest doc_id, there the topmost. All others go, but for those that overlap the first.
 
-Only chunks with a repeated hash carry their text into a shuffle. Groups are pre-aggregated for each task, and
-the join that brings the first owner back has no aggregate on its stage, so that Spark can split a hot chunk.
+Chunks with a repeated hash are written once; only they carry their text into a shuffle, that which compares their
+bytes, pre-aggregated for each task. Owners are a small written table: broadcast when there are few, else joined by
+hash with a plain exchange on either side, so that Spark splits the chunks of a hot hash. Where different texts share
+a hash, they are joined by their bytes. A text of any length is handled inside its own row.
 
 Defined results. A null text has no lines and stays null; an empty text is one empty line. Null doc_ids come
 after all others, among each other nothing is removed but repeats inside one text. Rows that repeat a doc_id
 don't remove each other's chunks (neither comes first); each is decided by its own text. Texts without repeats
-stay as they are, byte for byte.
+stay as they are, byte for byte. An empty table gives no rows. Columns named `n_lines` or `n_removed` are replaced by
+`line_deduplicated` and kept as they are by `cleaned`.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basewright.llm.common import written
 from basewright.llm.decontaminate import let
 
 LEAST_LINES = 2
-#: Repeated hashes (longs) are broadcast when counted to be so many at most (some 60 MB as a hash table).
+#: Repeated hashes and owners (one or two longs) are broadcast when counted to be so many at most (some 60 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
 
@@ -96,12 +100,20 @@ def _local(chunks: Column) -> Column:
 def removals(docs: DataFrame, rolling: bool = False) -> DataFrame:
     """For each text with something to remove its doc, row (hash of the text) and the numbers of the chunks that go."""
     rows = _rows(docs.select("doc_id", "text").where("text IS NOT NULL"), rolling)
-    repeated = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("hash")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    alike = rows.join(repeated, "hash", "left_semi")
-    owners = alike.groupBy("hash", "text").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    goes = alike.join(owners, ["hash", "text"]).where("again OR owner < doc")
+    repeated = written(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("hash"), "hashes")
+    small = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    alike = written(rows.join(small, "hash", "left_semi"), "chunks")
+    # here bytes are compared: a row for each different text, pre-aggregated for each task
+    texts = alike.groupBy("hash", "text").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("many"))
+    # nearly always all texts of a hash are one: then the hash stands for it, and no text is shuffled again
+    owners = texts.groupBy("hash").agg(F.collect_list(F.struct("text", "owner", "many")).alias("texts"))
+    first = F.get("texts", F.lit(0))
+    owners = written(owners.select("hash", F.when(F.size("texts") == 1, first["owner"]).alias("owner"), F.when(F.size("texts") == 1, first["many"]).alias("many"), F.when(F.size("texts") > 1, F.col("texts")).alias("texts")).where("many > 1 OR texts IS NOT NULL"), "owners")
+    alone, mixed = owners.where("texts IS NULL").select("hash", "owner"), owners.where("texts IS NOT NULL").select("hash", F.explode("texts").alias("t")).where("t.many > 1").select("hash", "t.text", "t.owner")
+    alone = F.broadcast(alone) if alone.count() <= BROADCAST_ROWS else alone
+    goes = alike.select("hash", "doc", "row", "k", "again").join(alone, "hash").where("again OR owner < doc").select("doc", "row", "k")
+    if mixed.limit(1).count():
+        goes = goes.unionByName(alike.join(mixed, ["hash", "text"]).where("again OR owner < doc").select("doc", "row", "k"))
     return goes.groupBy("doc", "row").agg(F.collect_set("k").alias("gone"))
 
 
@@ -126,11 +138,17 @@ def line_deduplicated(docs: DataFrame, rolling: bool = False) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """docs' columns with the new text, `n_chars` brought up to date; texts that lost everything are left out."""
-    out = line_deduplicated(docs, rolling=True).where("n_removed = 0 OR trim(text) <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns) if not {"n_lines", "n_removed"} & set(docs.columns) else out.drop("n_lines", "n_removed").join(docs.select("doc_id", *({"n_lines", "n_removed"} & set(docs.columns))).dropDuplicates(["doc_id"]), "doc_id", "left").select(*docs.columns)
+    """docs' columns with the new text, `n_chars` brought up to date; texts that lost everything are left out.
+
+    Other columns are carried through whatever their names; an empty table gives no rows.
+    """
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    private = docs.select("doc_id", "text", *[F.col(c).alias(f"_bw_c{i}") for i, c in enumerate(other)])
+    out = line_deduplicated(private, rolling=True).where("n_removed = 0 OR trim(text) <> ''")
+    back = {c: F.col(f"_bw_c{i}") for i, c in enumerate(other)}
+    if "n_chars" in back:
+        back["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(back["n_chars"])
+    return out.select(*[back[c].alias(c) if c in back else c for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
