@@ -26,3 +26,25 @@ def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert sorted((x.shard, x.slot) for x in sharding.digests(df).collect()) == [(0, 0), (8, 0)]
     assert sharding.digests(df.limit(0)).count() == 0
+
+
+def test_equal_rows_are_spread(spark):
+    rows = spark.range(100_000).selectExpr("cast(null as long) AS doc_id", "cast(null as string) AS text").unionByName(spark.range(500).selectExpr("id AS doc_id", "repeat(cast(id AS string), 20) AS text"))
+    keyed = sharding.external_shuffle(rows, bucket_bytes=50_000)
+    got = keyed.groupBy("shard").count().collect()
+    assert sorted(x["count"] for x in got) == [6281] * 12 + [6282] * 4
+    # the named rows are spread among the others, as a shuffle does
+    places = [x.shard for x in keyed.where("doc_id IS NOT NULL").collect()]
+    assert len(places) == 500 and min(map(places.count, range(16))) > 10
+    again = sharding.digests(rows.repartition(7), bucket_bytes=50_000).where("doc_id IS NOT NULL").collect()
+    assert sorted((x.doc_id, x.shard, x.slot) for x in again) == sorted((x.doc_id, x.shard, x.slot) for x in keyed.where("doc_id IS NOT NULL").collect())
+
+
+def test_sizes_and_broadcast_bounds(spark, monkeypatch):
+    rows = [(1, "é" * 10), (2, None), (3, ""), (4, "x" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, 21), (2, 1), (3, 1), (4, 300_001)}
+    assert {(x.doc_id, x.size) for x in sharding.digests(df, bucket_bytes=1_000).collect()} == want
+    before = sorted(map(str, sharding.digests(df, bucket_bytes=100).collect()))
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", -1)
+    assert sorted(map(str, sharding.digests(df, bucket_bytes=100).collect())) == before
