@@ -15,6 +15,18 @@ SHINGLE_WORDS = 5
 SIMILAR = 0.8
 
 
+#: Rows of a small written table (a few longs each) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def spread_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """large joined with one row for each key: small is written, then broadcast if counted to be few rows; else both
+    sides have a plain exchange under the join, so that Spark splits the rows of a hot key."""
+    small = written(small, "small")
+    few = small.count() <= (BROADCAST_ROWS if most is None else most)
+    return large.join(F.broadcast(small) if few else small, on, how)
+
+
 def dealt(df: DataFrame, total_bytes: int, *by: str, part_bytes: int = 64 << 20) -> DataFrame:
     """df by hash of columns into as many partitions as its counted bytes ask for, the session's number at least."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -30,8 +30,8 @@ def components(members: DataFrame) -> DataFrame:
     old, best = lowest(members.select("grp", F.col("node").alias("label")))
     labels = written(best, "labels")
     while True:
-        groups, best = lowest(members.join(labels, "node"))
-        best = written(best.join(labels.withColumnRenamed("label", "before"), "node"), "labels")
+        groups, best = lowest(members.join(labels.select("node", "label"), "node"))
+        best = written(best.join(labels.select("node", F.col("label").alias("before")), "node"), "labels")
         jumped = best.join(best.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
         new = written(jumped.select("node", "before", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
         changed = new.where("before <> label").limit(1).count()

@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from basewright.llm import jaccard
+from basewright.llm import common, components, jaccard
 
 
 def plain(rows):
@@ -54,9 +55,50 @@ def test_many_pairs_are_counted_alike():
 
 def test_representatives_nulls_repeats_and_columns(spark):
     text = " ".join(f"w{i}" for i in range(60))
-    rows = [(5, text, "a"), (3, text + " end", "b"), (3, text + " end", "b"), (None, text, "c"), (9, "other words here", None)]
+    rows = [(5, text, "a"), (3, text + " end", "b"), (3, text + " end", "b"), (None, text, "c"), (9, "other words here", None), (None, "no id has this", "x"), (None, "no id has this", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string")
-    assert sorted(map(tuple, jaccard.representatives(df).collect()), key=str) == sorted([rows[1], rows[2], rows[3], rows[4]], key=str)
-    got = {(x.doc_id, x.class_id, x.n_links) for x in jaccard.links(df).collect()}
-    assert got == {(5, 3, 2), (3, 3, 2), (None, None, 0), (9, 9, 0)}
-    assert jaccard.links(df.limit(0)).count() == 0
+    kept = sorted(map(tuple, jaccard.representatives(df).collect()), key=str)
+    assert len(kept) == 3 and {rows[1], rows[4]} < set(kept) and kept[2] in rows[5:]
+    got = sorted(((x.doc_id, x.class_id, x.rep_id, x.n_links) for x in jaccard.links(df).collect()), key=str)
+    assert got == sorted([(5, 3, 5, 3), (3, 3, 3, 3), (3, 3, 3, 3), (None, 3, 5, 3), (9, 9, 9, 0), (None, None, None, 1), (None, None, None, 1)], key=str)
+    assert jaccard.links(df.limit(0)).count() == 0 and jaccard.representatives(df.limit(0)).columns == df.columns
+
+
+def chain(n, words=60, step=6):
+    """Texts of which each shares most words with the next: one long component of small buckets."""
+    return [(i, " ".join(f"c{k}" for k in range(i * step, i * step + words))) for i in range(n)]
+
+
+@pytest.mark.parametrize("step", [3, 6, 12])
+def test_chains_are_compared_by_buckets(spark, step, monkeypatch):
+    rows = chain(90, 60, step) + corpus(3, 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = jaccard.written(jaccard.signed(df), "signed").select(F.monotonically_increasing_id().alias("node"), "bands", "size")
+    assert step != 6 or jaccard.units(jaccard.written(bands, "sets"), 8).where("band >= 0").count() > 0
+    got = jaccard.join(df, tile=8)
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in got.collect()) == plain(rows)
+
+
+def test_without_broadcast_and_in_small_tiles(spark, monkeypatch):
+    rows = corpus(9, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, name in ((jaccard, "BROADCAST_ROWS"), (common, "BROADCAST_ROWS"), (components, "BROADCAST_ROWS")):
+        monkeypatch.setattr(module, name, -1)
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 1500)
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in jaccard.join(df).collect()) == plain(rows)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 7000}x{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " tail"), (3, long[: len(long) // 2])]
+    got = {x.doc_id: (x.class_id, x.rep_id, x.n_links) for x in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 2, 1), 3: (3, 3, 0)}
+
+
+def test_no_aggregate_under_a_join_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    big, small = (spark.range(100).selectExpr("id % 5 AS k", f"id AS {c}") for c in "ab")
+    plan = common.spread_join(big, small.groupBy("k").agg(F.min("b").alias("b")), "k")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 2
