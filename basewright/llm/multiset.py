@@ -5,33 +5,47 @@ vector, and vectors are added lane by lane modulo a power of two: the order of p
 paragraph is put in or taken out by adding or subtracting its vector. The state of a document is an array of
 longs: 16 paragraph lanes modulo 2^32, the number of pieces, and 64 longs with two lanes each of a sketch.
 
-The sketch adds +1 or -1 for each bit of 128 hash bits of every piece of the paragraphs, a word with the one
-before it (none before the first). Words are runs without spaces; one of over 16 characters is cut after letters of its own, and
-each character of East Asian scripts is a word, so that an edit changes only pieces near it. The cosine of two such sums is the likeness of the multisets of pieces, with a standard error of
-about 0.09. Lanes are printed modulo 2^32 and 2^16. xxHash isn't cryptographic: equal fingerprints of
-texts made to collide prove nothing.
+The sketch is a second multiset hash in the same sums: it adds +1 or -1 for each bit of 128 hash bits of every piece
+of the paragraphs, a word with the one before it (none before the first). Words are runs without spaces; one of over
+16 characters is cut after letters of its own, and each character of East Asian scripts is a word, so that an edit
+changes only pieces near it. The cosine of two such sums is the likeness of the multisets of pieces, with a standard
+error of about 0.09; the paragraph lanes alone can only tell equal from different. A fingerprint prints the whole
+state, and `likeness_of` two fingerprints is what `likeness` gives for their states. xxHash isn't cryptographic: equal
+fingerprints of texts made to collide prove nothing.
+
+The next document in descending doc_id is found inside cells of about RANGE_ROWS documents that follow one another
+in (doc_id descending, hash of the text): equal widths first, then those cells that hold too many are cut again by
+their own bounds, until none does. Texts are shuffled once.
 
 Defined results. Null text counts as empty; empty paragraphs don't count, so an empty text has the zero vector,
-and two empty texts have likeness 1. Rows that repeat a doc_id follow one another in the order of their texts. A
-null doc_id has no place in the order: its next document is the empty text. An only document follows itself.
+and two empty texts have likeness 1. Rows that repeat a doc_id follow one another in the order of a hash of their texts;
+rows equal in both follow one another, in one cell. A null doc_id has no place in the order: its next document is the
+empty text, and it is handled without a cell. An only document follows itself. Texts of any length are hashed whole,
+each in one task. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from basewright.llm.common import dealt, written
 from basewright.llm.decontaminate import let
+from basewright.operators.position import renumbered
 
 _EAST, _REST = r"[\u2E80-\uD7FF]", r"[^\s\u2E80-\uD7FF]"
 WORD_PATTERN = f"{_EAST}|{_REST}{{1,16}}(?!{_REST})|{_REST}{{4,15}}?[aeinrst0-4]|{_REST}{{1,16}}"
-#: Documents in a range of ids that one group of the window holds, on average; ranges are told apart by id alone.
+#: Documents in a cell, which one group of the window holds: so many on average, four times as many at most.
 RANGE_ROWS = 1024
-#: First documents of ranges are broadcast when counted to be so many at most (some 30 MB).
+#: First documents of cells are broadcast when counted to be so many at most (some 50 MB).
 BROADCAST_RANGES = 500_000
 LANES, PAIRS = 16, 64
 WORD = 0xFFFFFFFF
+NO_CELL = "CAST(array() AS ARRAY<BIGINT>)"
 
 
 def _sums() -> list[Column]:
@@ -69,11 +83,27 @@ def taken(a: Column, b: Column) -> Column:
     return F.transform(F.zip_with(a, b, lambda x, y: x - y), lambda x, i: F.when(i < LANES, x.bitwiseAND(F.lit(WORD))).otherwise(x))
 
 
+def _hexed(x: Column, digits: int) -> Column:
+    return F.lpad(F.lower(F.hex(x)), digits, "0")
+
+
 def printed(state: Column) -> Column:
-    """A state as lower-case hex: paragraph lanes modulo 2^32, a hyphen, sketch lanes modulo 2^16."""
-    hexed = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
-    pair = lambda x: F.shiftrightunsigned(x, 16).bitwiseAND(F.lit(0xFFFF0000)).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF)))
-    return F.concat_ws("-", F.array_join(F.transform(F.slice(state, 1, LANES), hexed), ""), F.array_join(F.transform(F.slice(state, LANES + 2, PAIRS), lambda x: hexed(pair(x))), ""))
+    """A state as lower-case hex: paragraph lanes (8 digits each), number of pieces, sketch lanes (two in 16 digits)."""
+    paragraphs = F.array_join(F.transform(F.slice(state, 1, LANES), lambda x: _hexed(x, 8)), "")
+    sketch = F.array_join(F.transform(F.slice(state, LANES + 2, PAIRS), lambda x: _hexed(x, 16)), "")
+    return F.concat_ws("-", paragraphs, _hexed(F.get(state, F.lit(LANES)), 16), sketch)
+
+
+def parsed(fingerprint: Column) -> Column:
+    """The state that a fingerprint prints."""
+    number = lambda x: F.conv(x, 16, -10).cast("long")
+    parts = lambda k, n, digits: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: number(F.substring(F.split_part(fingerprint, F.lit("-"), F.lit(k)), i * digits + 1, F.lit(digits))))
+    return F.concat(parts(1, LANES, 8), parts(2, 1, 16), parts(3, PAIRS, 16))
+
+
+def likeness_of(a: Column, b: Column) -> Column:
+    """Likeness of two fingerprints."""
+    return likeness(parsed(a), parsed(b))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -97,33 +127,72 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(both)
 
 
-def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, text, `bucket`, `at` (unique in its bucket), `ghost` and `next_text`, dealt by bucket.
+def _cuts(ids: DataFrame, n: int, lo: int, hi: int, range_rows: int) -> list[DataFrame]:
+    """How (doc_id, h) are cut into cells, level by level: a table of the cells to cut, with bounds and widths.
 
-    Ids are cut into ranges; each range also gets, as a ghost, the first document of the range that follows,
-    so that a window inside each range finds the next document in descending doc_id, and texts are shuffled once.
+    A cell is an array with a number for each level; the order of the arrays is the order of the documents.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, lo, hi = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    n, lo, hi = (n, int(lo), int(hi)) if n else (1, 0, 0)
+    spark = ids.sparkSession
     width = -(-(hi - lo + 1) // max(1, -(-n // range_rows)))
-    bucket = F.expr(f"CAST((CAST(doc_id AS DECIMAL(20,0)) - {lo}BD) div {width}BD AS BIGINT)")
-    placed = rows.withColumn("bucket", bucket)
-    heads = placed.where("doc_id IS NOT NULL").groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    # a row of two longs for each range: in one task that is 1 / range_rows of the ids
-    after = heads.select(F.col("bucket").alias("to"), F.coalesce(F.lead("head").over(W.orderBy(F.col("bucket").desc())), F.lit(hi)).alias("head"))
-    if heads.count() <= BROADCAST_RANGES:
-        after = F.broadcast(after)
-    ghosts = rows.join(after, rows["doc_id"] == after["head"]).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
-    order = W.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc(), "text")
-    all_rows = placed.withColumn("ghost", F.lit(False)).unionByName(ghosts)
-    out = all_rows.select("*", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("_bw_next"))
-    return out.withColumn("next_text", F.when(F.col("doc_id").isNotNull(), F.col("_bw_next")).otherwise("")).drop("_bw_next")
+    first = spark.createDataFrame([([], True, Decimal(hi), Decimal(width))], "at array<long>, by_id boolean, from decimal(20,0), width decimal(20,0)")
+    levels, cells = [first], ids.withColumn("cell", F.expr(NO_CELL))
+    while True:
+        cells = _cut(cells, levels[-1])
+        bounds = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(c).cast("decimal(20,0)").alias(f"{k}_{c}") for c in ("doc_id", "h") for k, f in (("lo", F.min), ("hi", F.max))])
+        by_id = F.col("lo_doc_id") < F.col("hi_doc_id")
+        parts = F.ceil(F.col("n") / range_rows).cast("decimal(20,0)")
+        span = F.when(by_id, F.col("hi_doc_id") - F.col("lo_doc_id")).otherwise(F.col("hi_h") - F.col("lo_h")) + 1
+        large = bounds.where((F.col("n") > 4 * range_rows) & (by_id | (F.col("lo_h") < F.col("hi_h"))))
+        level = large.select(F.col("cell").alias("at"), by_id.alias("by_id"), F.when(by_id, F.col("hi_doc_id")).otherwise(F.col("lo_h")).alias("from"), F.greatest(F.ceil(span / parts), F.lit(1)).cast("decimal(20,0)").alias("width"))
+        level = written(level, "cuts")
+        if not level.limit(1).count():
+            return levels
+        levels.append(level)
+
+
+def _cut(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """rows with their cell's number at one level more, 0 in cells that aren't cut."""
+    few = level.count() <= BROADCAST_RANGES
+    met = rows.join(F.broadcast(level) if few else level, rows["cell"] == level["at"], "left")
+    far = F.when(F.col("by_id"), F.col("from") - F.col("doc_id").cast("decimal(20,0)")).otherwise(F.col("h").cast("decimal(20,0)") - F.col("from"))
+    number = F.coalesce(F.expr("CAST(_bw_far div width AS BIGINT)"), F.lit(0).cast("long"))
+    return met.withColumn("_bw_far", far).withColumn("cell", F.concat("cell", F.array(number))).select(*rows.columns)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """The contract's rows."""
-    near = with_next(docs.select("doc_id", "text"))
+def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, text, `bucket`, `at` (unique in its bucket), `ghost` and `next_text`, dealt by bucket; rows with an id.
+
+    Each cell also gets, as a ghost, the first document of the cell that follows, so that a window inside each cell
+    finds the next document, and texts are shuffled once.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    n, lo, hi, total = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text").cast("long"))).first()
+    ids = rows.select("doc_id", "h")
+    levels = _cuts(ids, n, lo or 0, hi or 0, range_rows)
+    cut = lambda df: reduce(_cut, levels, df.withColumn("cell", F.expr(NO_CELL)))
+    # ~h is the larger the smaller h is
+    heads = cut(ids).groupBy("cell").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("rest"))).alias("head"))
+    numbered = written(renumbered(heads.orderBy("cell")), "heads")
+    last = numbered.count()
+    following = numbered.select((F.pmod(F.col("rank") - 1, F.lit(max(1, last)))).alias("rank"), F.col("head.doc_id").alias("next_id"), F.bitwise_not("head.rest").alias("next_h"))
+    after = written(numbered.select("rank", F.col("cell").alias("to")).join(following, "rank").drop("rank"), "after")
+    after = F.broadcast(after) if last <= BROADCAST_RANGES else after
+    ghosts = rows.join(after, (F.col("doc_id") == F.col("next_id")) & (F.col("h") == F.col("next_h"))).groupBy(F.col("to").alias("cell")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("h").alias("h"))
+    all_rows = cut(rows).withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
+    order = W.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc(), "h", "text")
+    placed = dealt(all_rows.withColumnRenamed("cell", "bucket"), total or 0, "bucket")
+    out = placed.select("*", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("next_text"))
+    return out.drop("h")
+
+
+def without_id(docs: DataFrame) -> DataFrame:
+    """The same columns for rows without an id: each in a bucket of its own, followed by the empty text."""
+    rows = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", F.array(F.lit(-1).cast("long"), F.monotonically_increasing_id()).alias("bucket"), F.lit(False).alias("ghost"), F.lit(1).alias("at"), F.lit("").alias("next_text"))
+
+
+def _digested(near: DataFrame) -> DataFrame:
     n = F.char_length("text").cast("long")
     cut = F.expr("char_length(text) div 3").cast("int")
     edited = F.concat(F.left("text", F.char_length("text") - cut), F.left(F.coalesce("next_text", F.lit("")), cut))
@@ -136,5 +205,14 @@ def digests(docs: DataFrame) -> DataFrame:
     # rows go document, its edited text, next document
     three = each.select("*", F.lead("state", 1).over(order).alias("edited_state"), F.lead("state", 2).over(order).alias("next_state")).where("kind = 0 AND NOT ghost")
     none = F.array_repeat(F.lit(0).cast("long"), LANES + 1 + PAIRS)
-    next_state = F.when(F.col("doc_id").isNotNull(), F.col("next_state")).otherwise(none)
+    next_state = F.coalesce("next_state", none)
     return three.select("doc_id", "n_chars", "edited_sha256", printed(F.col("state")).alias("fingerprint"), printed(F.col("edited_state")).alias("edited_fingerprint"), likeness(F.col("state"), F.col("edited_state")).alias("near_edited"), likeness(F.col("state"), next_state).alias("near_next"))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """The contract's rows."""
+    docs = docs.select("doc_id", "text")
+    named = _digested(with_next(docs))
+    if not docs.where("doc_id IS NULL").limit(1).count():
+        return named
+    return named.unionByName(_digested(without_id(docs)))
