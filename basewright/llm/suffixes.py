@@ -11,12 +11,20 @@ small messages with these batches, by their number.
    third of all documents share comes once from each batch.
 3. There all suffixes that start a window are sorted to WIDTH bytes: by characters of eight bytes each,
    ever deeper inside equal runs, down to SHALLOW bytes; the groups of equal prefix that are left are ordered by
-   blind tries, which look only at the byte where a group branches and check the rest against one member. A bit
-   goes back for each window: whether a smaller id has it than the smallest that the batch knows.
+   blind tries, all groups at once and a branch of each at a time: a member is held against the head of its group
+   once, which tells where they differ; the group branches at the first such place, by the byte there alone, and
+   only those that branch off are held against a new head. Equal windows stand together in the order, and a bit goes
+   back for each window: whether a smaller id has it than the smallest that the batch knows.
 4. Each batch marks the bytes of its removed windows.
 
+Messages: a batch has one for each partition it has anchors for, so there are batches times partitions of them until
+each holds few anchors (some 30 at 1 TB), and never more than there are anchors: in proportion to the input, but by
+then with as many bytes for the message as for what it carries. All messages of a batch are about as large as a part
+of the batch. Partitions of shuffles grow with the counted bytes.
+
 Defined results. Null and empty texts, and those shorter than WIDTH bytes, lose nothing. A null doc_id counts as
-larger than all others; rows of equal doc_id don't take from each other. Extra columns aren't read.
+larger than all others; rows of equal doc_id don't take from each other. A text longer than a batch is a batch of its
+own, held whole by a task. An empty table gives no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewright.llm.common import mixed, written
+from basewright.llm.common import dealt, mixed, written
 
 WIDTH, GRAM, SHALLOW = 50, 20, 16
 BATCH = 2 << 20
@@ -256,35 +264,46 @@ def sorted_windows(data: np.ndarray, starts: np.ndarray, width: int = WIDTH, sha
     depths = [*range(shallow, width - 7, 8)]
     if depths[-1] + 8 < width:
         depths.append(width - 8)
-    while len(more):  # a level of all blind tries at once
-        begins = np.flatnonzero(new[more])
-        run = np.cumsum(new[more]) - 1
-        at = starts[order[more]]
-        differ = np.full(len(more), width, np.int64)
+
+    def first_difference(at: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """The first byte in which suffixes differ from others, width if none."""
+        out = np.full(len(at), width, np.int64)
         for depth in reversed(depths):
-            x = word[at + depth] ^ word[at[begins][run] + depth]
+            x = word[at + depth] ^ word[head + depth]
             off = np.flatnonzero(x)
-            if len(off):  # the first byte in which they differ
+            if len(off):
                 lead = np.zeros(len(off), np.int64)
                 rest = x[off]
                 for bits in (32, 16, 8):
                     clear = rest >> np.uint64(64 - bits) == 0
                     lead[clear] += bits // 8
                     rest = np.where(clear, rest << np.uint64(bits), rest)
-                differ[off] = depth + lead
-        branch = np.minimum.reduceat(differ, begins)
-        open_ = (branch < width)[run]
-        more, run, at = more[open_], run[open_], at[open_]
+                out[off] = depth + lead
+        return out
+
+    # the blind tries of all groups, a branch of each at a time: members are held against their group's head once
+    begins = np.flatnonzero(new[more])
+    run = np.cumsum(new[more]) - 1
+    at = starts[order[more]]
+    differ = first_difference(at, at[begins][run]) if len(more) else np.empty(0, np.int64)
+    while len(more):
+        branch = np.minimum.reduceat(differ, begins)[run]
+        open_ = branch < width
+        more, run, at, differ, branch = (x[open_] for x in (more, run, at, differ, branch))
         if not len(more):
             break
-        byte = data[at + branch[run]]
-        again = np.lexsort((byte, run))
+        byte = data[at + branch]
+        again = np.lexsort((byte, run))  # only the byte at the branch is looked at
         order[more] = order[more[again]]
-        run, byte = run[again], byte[again]
+        run, byte, at, differ, branch = (x[again] for x in (run, byte, at, differ, branch))
         new[more[1:]] |= (run[1:] != run[:-1]) | (byte[1:] != byte[:-1])
         last = np.concatenate([new[more[1:]], [True]])
         stay = ~(new[more] & last)
-        more = more[stay]
+        more, at, differ, branch = (x[stay] for x in (more, at, differ, branch))
+        begins, run = np.flatnonzero(new[more]), np.cumsum(new[more]) - 1
+        # who branched off has a new head and is held against it; the others keep theirs, and what is known of it
+        off = np.flatnonzero(differ == branch)
+        differ[off] = first_difference(at[off], at[begins][run[off]])
     return order, new
 
 
@@ -334,10 +353,10 @@ def _finish(anchor_parts: int, parts: int):
     return run
 
 
-def _met(batches: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+def _met(batches: DataFrame, answers: DataFrame, name: str, total: int) -> DataFrame:
     """The answers of all partitions to each batch: as many bits in all as the batch has asked for."""
-    each = answers.groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias(name))
-    return batches.join(each, "batch", "left")
+    each = dealt(answers, total, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias(name))
+    return dealt(batches, total, "batch").join(each, "batch", "left")
 
 
 def deduplicated(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
@@ -348,11 +367,11 @@ def deduplicated(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
     anchor_parts, parts = max(least, -(-total // ANCHOR_BYTES)), max(4 * least, -(-total // RUN_BYTES))
     answer = "batch long, part long, bits binary"
     asked = rows.mapInArrow(_send_anchors(anchor_parts), "batch long, part long, bits binary, twice binary")
-    anchors = written(asked.groupBy("part").applyInArrow(_answer_anchors, answer), "anchors")
-    known = _met(rows, anchors, "anchors")
+    anchors = written(dealt(asked, total // 4, "part").groupBy("part").applyInArrow(_answer_anchors, answer), "anchors")
+    known = _met(rows, anchors, "anchors", total)
     sent = known.mapInArrow(_send_runs(anchor_parts, parts), "batch long, part long, text binary, sizes binary, least binary")
-    answers = written(sent.groupBy("part").applyInArrow(_answer_runs, answer), "runs")
-    return _met(known, answers, "runs").mapInArrow(_finish(anchor_parts, parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    answers = written(dealt(sent, total, "part").groupBy("part").applyInArrow(_answer_runs, answer), "runs")
+    return _met(known, answers, "runs", total).mapInArrow(_finish(anchor_parts, parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
