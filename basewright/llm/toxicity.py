@@ -3,14 +3,15 @@
 Grades are 0 (not toxic) to 3. Labels say only toxic or not; toxic labelled texts are graded 1 to 3 by thirds of
 their number of different words that carry a marker (a feature bound to the toxic label). The model has one weight for
 each feature and an ordered threshold for each step between grades: P(grade > k) = sigmoid(w x - threshold k).
-It is fitted on at most SAMPLE labelled documents, chosen by a hash of doc_id; everything is scored with it, whole
-texts. Features are the lower-cased words and their first four to six letters, those whose share differs between
+It is fitted on about SAMPLE labelled documents at most, chosen by 64-bit hashes of doc_id, then of id and text, and
+written; everything is scored with it, whole texts. Features are the lower-cased words and their first four to six letters, those whose share differs between
 the two labels by LEAST_Z standard errors, FEATURES of them at most.
 
 Defined results. Null, empty and wordless texts have no features and get the model's base rate, which is
-held below one half. Labels that repeat a doc_id are averaged, rows that repeat a doc_id are scored each. Null
-labels and labels without a document don't count. Without labels of both kinds every score is 0 and nothing is
-toxic. Other columns aren't read.
+held below one half. Labels that repeat a doc_id are averaged; rows that repeat a doc_id are scored each, and fitted
+each unless their texts are equal. Null labels and labels without a document don't count. Without labels of both kinds
+every score is 0 and nothing is toxic. Equal texts get equal scores. Texts of any length are read whole, one at a
+time. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basewright.llm.common import in_share, written
+
 SAMPLE, FEATURES, LEAST_Z, GRADES = 20_000, 4_096, 5.0, 4
 PREFIXES = 4, 5, 6
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,11 +81,13 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """toxic and text of a bounded sample of the labelled documents."""
+    """toxic and text of a sample of the labelled documents, about `sample` of them; equal rows are one."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    share = min(1.0, sample / max(1, labels.count()))
-    chosen = labels.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most about `sample` rows of two numbers
+    chosen = labels.where(in_share(sample / max(1, labels.count()), 11, "doc_id"))
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about `sample` rows of two numbers at most
+    once = met.groupBy("doc_id", F.xxhash64("text").alias("h"), "toxic").agg(F.any_value("text").alias("text"))
+    rows = written(once.select("toxic", "text", "doc_id"), "labelled")
+    return rows.where(in_share(sample / max(1, rows.count()), 12, "doc_id", "text")).select("toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
