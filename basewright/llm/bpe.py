@@ -7,7 +7,8 @@ takes the longest match at each place, steps back to shorter ones when a neighbo
 remembers both the places that led nowhere and the answers for pairs, so its time is linear in the piece.
 
 Null text counts as empty and gives no ids; ids of a text don't depend on other rows, so repeated rows and
-ties need no rule; other columns are carried through. A row's columns named like an output are replaced.
+ties need no rule; a text of any length is encoded whole, one at a time; an empty table gives no rows. Other columns
+are carried through; those named like an output are replaced.
 """
 
 from __future__ import annotations
