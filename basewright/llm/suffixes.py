@@ -155,7 +155,7 @@ def distinct_anchors(windows: Windows, parts: int) -> tuple[np.ndarray, np.ndarr
 
 def _cut(parts: np.ndarray) -> Iterator[tuple[int, slice]]:
     at = np.flatnonzero(np.diff(parts, prepend=-1) != 0)
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(parts)], strict=True):
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(parts)], strict=False):  # no parts: none
         yield int(parts[a]), slice(a, b)
 
 
