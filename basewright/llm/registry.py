@@ -85,14 +85,41 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.digests(table(spark, sf_dir, "documents"))
 
 
-@query("op3_line_chunks")
+@query(
+    "op3_line_chunks",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS o, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+m AS (SELECT r, o, l, list_filter(range(1, len(l) + 1), lambda i: trim(l[i], ' ' || chr(9) || chr(13)) <> '') AS p FROM d WHERE text IS NOT NULL),
+c AS (SELECT r, o, p[k] AS a, p[k + 1] AS b, array_to_string(l[p[k]:p[k + 1]], chr(10)) AS t FROM (SELECT *, unnest(range(1, len(p))) AS k FROM m)),
+w AS (SELECT t, min(o) AS owner FROM c GROUP BY 1),
+f AS (SELECT r, t, arg_min(b, a) AS b1 FROM c GROUP BY 1, 2),
+g AS (SELECT c.r AS r, list_distinct(flatten(list(range(c.a, c.b + 1)))) AS gone FROM c JOIN w ON c.t = w.t JOIN f ON c.r = f.r AND c.t = f.t WHERE owner < o OR b1 < c.a GROUP BY 1),
+k AS (SELECT d.doc_id AS doc_id, coalesce(len(l), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+  coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10)) END, '') AS kept
+  FROM d LEFT JOIN g ON d.r = g.r)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM k""",
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basewright.llm import linechunks
 
     return linechunks.digests(table(spark, sf_dir, "documents"))
 
 
-@query("op1_ngram_jaccard")
+@query(
+    "op1_ngram_jaccard",
+    r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+  UNION ALL SELECT r, '/' || t FROM d WHERE len(w) = 0),
+n AS (SELECT r, count(*) AS c, md5(string_agg(g, '|' ORDER BY g)) AS key FROM s GROUP BY 1),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE shared >= 0.8 * (a.c + b.c - shared) - 1e-9),
+f(r, o) AS (SELECT r, r FROM d UNION SELECT e.y, f.o FROM f JOIN e ON e.x = f.r),
+c AS (SELECT f.r AS r, min(doc_id) AS class_id FROM f JOIN d ON d.r = f.o GROUP BY 1),
+q AS (SELECT key, min(doc_id) AS rep_id FROM n JOIN d ON d.r = n.r GROUP BY 1),
+l AS (SELECT x AS r, count(*) AS links FROM e GROUP BY 1)
+SELECT doc_id, class_id, rep_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links FROM d JOIN c ON c.r = d.r JOIN n ON n.r = d.r JOIN q ON q.key = n.key LEFT JOIN l ON l.r = d.r""",
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basewright.llm import jaccard
 
@@ -113,7 +140,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op4_suffix_sorting")
+@query(
+    "op4_suffix_sorting",
+    """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, o, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+f AS (SELECT s, min(o) AS least FROM w GROUP BY 1 HAVING min(o) < max(o)),
+g AS (SELECT r, i FROM w JOIN f ON w.s = f.s WHERE least < o),
+m AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM g),
+k AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM m),
+p AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY 1, 2),
+e AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM p GROUP BY 1),
+x AS (SELECT doc_id, h, n_removed, n_spans, list_concat([0], coalesce(b, [])) AS starts, list_concat(coalesce(a, []), [len(h) // 2]) AS ends FROM d LEFT JOIN e ON d.r = e.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1), lambda j: substr(h, 2 * starts[j] + 1, 2 * (ends[j] - starts[j]))), ''))) AS kept_sha256 FROM x""",
+)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basewright.llm import suffixes
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -33,6 +34,15 @@ def test_compatible_is_what_merging_says(both):
         assert own._compatible(a, b) == (bpe.merged(own.entry[a] + own.entry[b], own.ranks) == [a, b])
 
 
+def test_digests_are_the_librarys(spark, both):
+    _, library = both
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {x.doc_id: x.text or "" for x in docs.collect()}
+    for got in bpe.digests(docs).collect():
+        ids = np.array(library.encode_ordinary(texts[got.doc_id]), "<u4").tobytes()
+        assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[got.doc_id].encode()).hexdigest())
+
+
 def test_rows(spark, both):
     rows = [(1, "the the", "x"), (1, "the the", "x"), (None, None, "y"), (2, "", None)]
     got = bpe.digests(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")).collect()
