@@ -26,7 +26,7 @@ each in one task. An empty table gives no rows. Other columns aren't read.
 
 from __future__ import annotations
 
-from decimal import Decimal
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,7 +45,6 @@ RANGE_ROWS = 1024
 BROADCAST_RANGES = 500_000
 LANES, PAIRS = 16, 64
 WORD = 0xFFFFFFFF
-NO_CELL = "CAST(array() AS ARRAY<BIGINT>)"
 
 
 def _sums() -> list[Column]:
@@ -127,36 +126,36 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(both)
 
 
-def _cuts(ids: DataFrame, n: int, lo: int, hi: int, range_rows: int) -> list[DataFrame]:
-    """How (doc_id, h) are cut into cells, level by level: a table of the cells to cut, with bounds and widths.
-
-    A cell is an array with a number for each level; the order of the arrays is the order of the documents.
-    """
-    spark = ids.sparkSession
-    width = -(-(hi - lo + 1) // max(1, -(-n // range_rows)))
-    first = spark.createDataFrame([([], True, Decimal(hi), Decimal(width))], "at array<long>, by_id boolean, from decimal(20,0), width decimal(20,0)")
-    levels, cells = [first], ids.withColumn("cell", F.expr(NO_CELL))
+def _cuts(ids: DataFrame, n: int, lo: int, hi: int, range_rows: int) -> Callable[[DataFrame], DataFrame]:
+    """What gives rows of (doc_id, h) the number of their cell: equal widths, then level by level a table of the cells
+    to cut again, with bounds, widths and new numbers."""
+    parts = max(1, -(-n // range_rows))
+    first = F.expr(f"CAST((CAST({hi} AS DECIMAL(20,0)) - CAST(doc_id AS DECIMAL(20,0))) div {-(-(hi - lo + 1) // parts)}BD AS BIGINT)")
+    levels, cells, free = [], ids.withColumn("cell", first), parts
     while True:
-        cells = _cut(cells, levels[-1])
+        cells = _cut(cells, levels[-1]) if levels else cells
         bounds = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(c).cast("decimal(20,0)").alias(f"{k}_{c}") for c in ("doc_id", "h") for k, f in (("lo", F.min), ("hi", F.max))])
         by_id = F.col("lo_doc_id") < F.col("hi_doc_id")
-        parts = F.ceil(F.col("n") / range_rows).cast("decimal(20,0)")
         span = F.when(by_id, F.col("hi_doc_id") - F.col("lo_doc_id")).otherwise(F.col("hi_h") - F.col("lo_h")) + 1
-        large = bounds.where((F.col("n") > 4 * range_rows) & (by_id | (F.col("lo_h") < F.col("hi_h"))))
-        level = large.select(F.col("cell").alias("at"), by_id.alias("by_id"), F.when(by_id, F.col("hi_doc_id")).otherwise(F.col("lo_h")).alias("from"), F.greatest(F.ceil(span / parts), F.lit(1)).cast("decimal(20,0)").alias("width"))
-        level = written(level, "cuts")
-        if not level.limit(1).count():
-            return levels
-        levels.append(level)
+        large = bounds.where((F.col("n") > 4 * range_rows) & (by_id | (F.col("lo_h") < F.col("hi_h")))).withColumn("parts", F.ceil(F.col("n") / range_rows))
+        width = F.greatest(F.ceil(span / F.col("parts").cast("decimal(20,0)")), F.lit(1)).cast("decimal(20,0)")
+        # a row for each cell that is too large, one in thousands of documents at most
+        base = F.sum("parts").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("parts") + free
+        level = written(large.select(F.col("cell").alias("at"), by_id.alias("by_id"), F.when(by_id, F.col("hi_doc_id")).otherwise(F.col("lo_h")).alias("from"), width.alias("width"), base.cast("long").alias("base"), "parts"), "cuts")
+        more = level.agg(F.sum("parts")).first()[0]
+        if not more:
+            return lambda df: reduce(_cut, levels, df.withColumn("cell", first))
+        free += more
+        levels.append(level.drop("parts"))
 
 
 def _cut(rows: DataFrame, level: DataFrame) -> DataFrame:
-    """rows with their cell's number at one level more, 0 in cells that aren't cut."""
+    """rows with the numbers of new cells in place of those of the cells that are cut."""
     few = level.count() <= BROADCAST_RANGES
     met = rows.join(F.broadcast(level) if few else level, rows["cell"] == level["at"], "left")
     far = F.when(F.col("by_id"), F.col("from") - F.col("doc_id").cast("decimal(20,0)")).otherwise(F.col("h").cast("decimal(20,0)") - F.col("from"))
-    number = F.coalesce(F.expr("CAST(_bw_far div width AS BIGINT)"), F.lit(0).cast("long"))
-    return met.withColumn("_bw_far", far).withColumn("cell", F.concat("cell", F.array(number))).select(*rows.columns)
+    cell = F.coalesce(F.expr("base + CAST(_bw_far div width AS BIGINT)"), F.col("cell"))
+    return met.withColumn("_bw_far", far).withColumn("cell", cell).select(*rows.columns)
 
 
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -169,11 +168,10 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     rows = rows.withColumn("h", F.xxhash64("text"))
     n, lo, hi, total = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text").cast("long"))).first()
     ids = rows.select("doc_id", "h")
-    levels = _cuts(ids, n, lo or 0, hi or 0, range_rows)
-    cut = lambda df: reduce(_cut, levels, df.withColumn("cell", F.expr(NO_CELL)))
+    cut = _cuts(ids, n, lo or 0, hi or 0, range_rows)
     # ~h is the larger the smaller h is
     heads = cut(ids).groupBy("cell").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("rest"))).alias("head"))
-    numbered = written(renumbered(heads.orderBy("cell")), "heads")
+    numbered = written(renumbered(heads.orderBy(F.desc("head"))), "heads")
     last = numbered.count()
     following = numbered.select((F.pmod(F.col("rank") - 1, F.lit(max(1, last)))).alias("rank"), F.col("head.doc_id").alias("next_id"), F.bitwise_not("head.rest").alias("next_h"))
     after = written(numbered.select("rank", F.col("cell").alias("to")).join(following, "rank").drop("rank"), "after")
@@ -189,7 +187,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 def without_id(docs: DataFrame) -> DataFrame:
     """The same columns for rows without an id: each in a bucket of its own, followed by the empty text."""
     rows = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", "text", F.array(F.lit(-1).cast("long"), F.monotonically_increasing_id()).alias("bucket"), F.lit(False).alias("ghost"), F.lit(1).alias("at"), F.lit("").alias("next_text"))
+    return rows.select("doc_id", "text", (-1 - F.monotonically_increasing_id()).alias("bucket"), F.lit(False).alias("ghost"), F.lit(1).alias("at"), F.lit("").alias("next_text"))
 
 
 def _digested(near: DataFrame) -> DataFrame:
@@ -198,15 +196,25 @@ def _digested(near: DataFrame) -> DataFrame:
     edited = F.concat(F.left("text", F.char_length("text") - cut), F.left(F.coalesce("next_text", F.lit("")), cut))
     near = near.withColumn("n_chars", n).withColumn("edited", edited)
     near = near.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    kinds = F.when(F.col("ghost"), F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")))).otherwise(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"))))
+    # the paragraphs before the cut are those of both texts: they are hashed once, and the rest of either is added
+    head = F.left("text", F.char_length("text") - cut)
+    same = F.char_length(head) - F.char_length(F.substring_index(head, "\n", -1))
+    body = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("body"))
+    whole = F.array(body(0, F.col("text")), body(1, F.lit("")))
+    parts = F.array(body(0, F.left("text", F.col("_bw_same"))), body(1, F.substr("text", F.col("_bw_same") + 1)), body(2, F.substr("edited", F.col("_bw_same") + 1)))
     by = ["bucket", "at", "ghost", "doc_id", "n_chars", "edited_sha256"]
-    each = states(near.select(*by, F.explode(kinds).alias("_bw_k")).select(*by, "_bw_k.kind", "_bw_k.body"), "body", *by, "kind")
+    near = near.withColumn("_bw_same", same).select(*by, F.explode(F.when(F.col("ghost"), whole).otherwise(parts)).alias("_bw_k"))
+    each = states(near.select(*by, "_bw_k.kind", "_bw_k.body"), "body", *by, "kind")
     order = W.partitionBy("bucket").orderBy("at", "kind")
-    # rows go document, its edited text, next document
-    three = each.select("*", F.lead("state", 1).over(order).alias("edited_state"), F.lead("state", 2).over(order).alias("next_state")).where("kind = 0 AND NOT ghost")
+    # rows go: what both texts share, the rest of the text, that of the edited one; then those of the next document
+    lead = lambda k: F.lead("state", k).over(order)
+    rows = each.select("*", *[lead(k).alias(f"_bw_{k}") for k in range(1, 5)]).where("kind = 0 AND NOT ghost")
     none = F.array_repeat(F.lit(0).cast("long"), LANES + 1 + PAIRS)
-    next_state = F.coalesce("next_state", none)
-    return three.select("doc_id", "n_chars", "edited_sha256", printed(F.col("state")).alias("fingerprint"), printed(F.col("edited_state")).alias("edited_fingerprint"), likeness(F.col("state"), F.col("edited_state")).alias("near_edited"), likeness(F.col("state"), next_state).alias("near_next"))
+    state, edited, following = added(F.col("state"), F.col("_bw_1")), added(F.col("state"), F.col("_bw_2")), F.coalesce(added(F.col("_bw_3"), F.col("_bw_4")), none)
+    # a generator between: else sums are worked out again wherever they are used
+    three = rows.select("doc_id", "n_chars", "edited_sha256", F.explode(F.array(F.struct(state.alias("a"), edited.alias("b"), following.alias("c")))).alias("_bw"))
+    a, b, c = (F.col(f"_bw.{x}") for x in "abc")
+    return three.select("doc_id", "n_chars", "edited_sha256", printed(a).alias("fingerprint"), printed(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
