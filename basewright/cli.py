@@ -106,7 +106,17 @@ def _concat(job: Job) -> int:
 
 def _select(job: Job) -> int:
     one, two = select.select_pairs(job.read(job.o.read1), job.read(job.o.read2))
-    return job.reads(one, job.o.out1) + job.reads(two, job.o.out2)
+    counts = job.reads(one, job.o.out1), job.reads(two, job.o.out2)
+    LOG.info("selected reads: %d of read1, %d of read2", *counts)
+    return sum(counts)
+
+
+def _mask(job: Job) -> int:
+    reads = job.read(job.o.input)
+    n = job.reads(rowwise.mask(reads, job.o.low_quality, job.o.char, job.o.phred), job.o.out)
+    masked = rowwise.masked(reads, job.o.low_quality, job.o.phred).first()
+    LOG.info("total masked bases: %d in %d reads", masked.bases, masked.reads)
+    return n
 
 
 def _filter(job: Job) -> int:
@@ -136,7 +146,10 @@ def _search(job: Job) -> int:
 
 
 def _grep(job: Job) -> int:
-    n = job.reads(select.grep(job.read(job.o.input), fastq.read_ids(job.spark, job.o.id_list), job.o.full_name), job.o.out)
+    names = fastq.read_ids(job.spark, job.o.id_list)
+    if not names.limit(1).count():
+        raise ValueError(f"no names in {job.o.id_list}")
+    n = job.reads(select.grep(job.read(job.o.input), names, job.o.full_name), job.o.out)
     LOG.info("total reads matched number: %d", n)
     return n
 
@@ -302,7 +315,7 @@ COMMANDS: list[tuple[str, bool, tuple, Callable[[Job], object]]] = [
     ("reverse rev", True, (("-r --reverse", _FLAG), _OUT), _one(rowwise.reverse, "reverse")),
     ("split", True, (("-p --prefix", _STR("demo")), *_PACK), _split),
     ("merge", False, (*_MATES, _OUT), lambda job: job.reads(position.interleave(job.read(job.o.read1), job.read(job.o.read2)), job.o.out)),
-    ("mask", True, (_PHRED, ("-l --low-quality", _INT(5)), ("-c --char", _STR("N")), _OUT), _one(rowwise.mask, "low_quality", "char", "phred")),
+    ("mask", True, (_PHRED, ("-l --low-quality", _INT(5)), ("-c --char", _STR("N")), _OUT), _mask),
     ("split2", True, (("-n --num", _INT(200_000)), ("-p --prefix", _STR("sub")), *_PACK), _split2),
     ("gcplot gc", True, (("-p --prefix", _STR("gc_plot")), ("-y --ylim", _FLOAT(15.0)), *_FIGURE, _OUT), _gcplot),
     ("length len", True, (("-r --reverse", _FLAG), _OUT), _report(lambda r, o: reports.length_text(aggregate.lengths(r), o.reverse))),

@@ -39,6 +39,12 @@ def mask(reads: DataFrame, limit: int = 5, letter: str = "N", phred: int = 33) -
     return reads.withColumn("seq", F.array_join(masked, ""))
 
 
+def masked(reads: DataFrame, limit: int = 5, phred: int = 33) -> DataFrame:
+    """One row: how many bases `mask` replaces, and in how many reads."""
+    n = X.count_of(C.qual, "".join(map(chr, range(1, check_offset(phred) + limit + 1))))
+    return reads.agg(F.coalesce(F.sum(n), F.lit(0)).alias("bases"), F.count_if(n > 0).alias("reads"))
+
+
 def rescore(reads: DataFrame, to33: bool = False, to64: bool = False) -> DataFrame:
     """Move qualities between the offsets 33 and 64 (31 apart)."""
     if to33 == to64:

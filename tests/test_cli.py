@@ -79,8 +79,24 @@ def test_commands_on_one_file(spark, files, monkeypatch):
     run(spark, "split", "1.fq", "-z", "-p", "s")
     assert back(d / "s_r1.fq.gz") == one[::2] and back(d / "s_r2.fq.gz") == one[1::2]
     assert run(spark, "split2", "1.fq", "-n", 12, "-p", "c") == {0: 12, 1: 12, 2: 6} and back(d / "c2.fq") == one[24:]
-    with pytest.raises(ValueError):
-        run(spark, "split2", "1.fq", "-z", "-x")
+    (d / "none").write_text("")
+    for wrong in (("split2", "1.fq", "-z", "-x"), ("grep", "1.fq", "-i", "none"), ("sort", "1.fq"), ("sort", "1.fq", "-n", "-g"), ("split", "1.fq", "-o", "no_such_folder")):
+        with pytest.raises(ValueError):
+            run(spark, *wrong)
+    run(spark, "split2", "1.fq", "-n", 12, "-o", f"file://{d}/parts")
+    assert sorted(x.name for x in (d / "parts").glob("chunk=*")) == ["chunk=0", "chunk=1", "chunk=2"]
+    assert back(next((d / "parts" / "chunk=2").glob("*.txt"))) == one[24:]
+    run(spark, "topn", "1.fq", "-n", 1, "-o", "more.fq.gz", "--compress-level", 9)
+    assert back(d / "more.fq.gz") == one[:1]
+
+
+def test_log_levels_and_elapsed_time(files):
+    d, *_ = files
+    for flags, expected in ((["-v"], 0), ([], 1), (["-q"], 0)):
+        assert cli.main(["size", f"{d}/1.fq", "-o", f"{d}/s.txt", "--log", f"{d}/log", *flags]) == 0
+        assert (d / "log").read_text().count("time elapsed") == expected
+    assert cli.main(["tail", f"{d}/1.fq", "-n", "2", "-o", f"{d}/no/such/folder.fq", "--log", f"{d}/log"]) == 1
+    assert "ERROR" in (d / "log").read_text()
 
 
 def test_commands_on_pairs(spark, files, monkeypatch):

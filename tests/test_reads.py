@@ -41,6 +41,7 @@ def test_rows(reads):
     assert rowwise.reverse(reads).where("read_idx = 1").first().seq == "GTACGTNNNN"
     assert got(rowwise.rescore(rowwise.rescore(reads, to64=True), to33=True)) == got(reads)
     assert rowwise.mask(reads, 5).where("read_idx = 0").first().seq == "ACGTN" and rowwise.mask(reads, 5).where("read_idx = 1").first().seq == "N" * 10
+    assert tuple(rowwise.masked(reads, 5).first()) == (11, 2) and tuple(rowwise.masked(reads.limit(0)).first()) == (0, 0)
     assert rowwise.rename(reads, prefix="P", keep=True).first().id == "P1 d x y"
     assert [x.seq for x in rowwise.slide(reads.where("read_idx = 1"), 4, 4).orderBy("part").collect()] == ["acgt", "ACGT", "AC"]
     assert [x.seq for x in rowwise.slide(reads.where("read_idx = 1"), 10, 20).collect()] == ["acgtACGTAC"]
@@ -123,6 +124,13 @@ def test_stream_and_command_line(spark, reads, tmp_path):
     assert got(spark.table("sizes")) == got(aggregate.lengths(reads))
     with pytest.raises(ValueError):
         streaming.start(stream, "tail", "memory", f"{tmp_path}/c3")
+    ids = spark.createDataFrame([("r1",)], "name string")
+    streaming.start(stream, "remove", "memory", f"{tmp_path}/c4", "rest", ids=ids).awaitTermination(60)
+    assert got(spark.table("rest")) == got(select.remove(reads, ids)[0])
+    streaming.start(stream, "gc_histogram", "memory", f"{tmp_path}/c5", "gc").awaitTermination(60)
+    assert {x.gc: x.n for x in spark.table("gc").collect()} == {x.gc: x.reads for x in aggregate.gc_histogram(reads).where("reads > 0").collect()}
+    with pytest.raises(ValueError):
+        streaming.start(stream, "rename", "memory", f"{tmp_path}/c6", prefix="p")
     (tmp_path / "x.fq").write_text(TEXT)
     assert cli.run(spark, "size", f"{tmp_path}/x.fq").startswith("reads:3\tbases:12")
     assert cli.run(spark, "fq2fa", f"{tmp_path}/x.fq", "-o", f"{tmp_path}/x.fa") == 3
