@@ -48,8 +48,11 @@ WORD = 0xFFFFFFFF
 
 
 def _sums() -> list[Column]:
-    """Aggregates that add up the vectors of pieces `_bw_piece` (number `_bw_n` in paragraph `_bw_par`)."""
-    out = [F.sum(F.when(F.coalesce("_bw_n", F.lit(0)) == 0, F.shiftrightunsigned(f"_bw_h{i // 2}", 32 * (i % 2)).bitwiseAND(F.lit(WORD))).otherwise(0)).alias(f"_bw_l{i}") for i in range(LANES)]
+    """Aggregates that add up the vectors of pieces, and those of paragraphs on the row of their first piece (`_bw_first`).
+
+    All are short terms without branches: with longer ones the generated code grows past what the JVM compiles.
+    """
+    out = [F.sum(F.shiftrightunsigned(f"_bw_h{i // 2}", 32 * (i % 2)).bitwiseAND(F.lit(WORD)).bitwiseAND(F.col("_bw_first"))).alias(f"_bw_l{i}") for i in range(LANES)]
     out.append(F.count("_bw_piece").alias("_bw_pieces"))
     for i in range(PAIRS):
         out.append(F.sum(F.shiftrightunsigned(f"_bw_g{i // 32}", i % 32).bitwiseAND(F.lit(1 << 32 | 1))).alias(f"_bw_p{i}"))
@@ -66,8 +69,11 @@ def states(rows: DataFrame, text: str, *by: str) -> DataFrame:
     """The columns `by`, which must tell the rows apart, and `state` array<long>. No shuffle if rows are already
     dealt by some of them."""
     pars = rows.select(*by, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_bw_par"))
-    hashed = pars.select(*by, *[F.when(F.col("_bw_par") == "", 0).otherwise(F.xxhash64(F.lit(i), "_bw_par")).alias(f"_bw_h{i}") for i in range(LANES // 2)], F.posexplode_outer(_pieces(F.col("_bw_par"))).alias("_bw_n", "_bw_piece"))
-    pieces = hashed.withColumns({f"_bw_g{i}": F.when(F.col("_bw_piece").isNull(), 0).otherwise(F.xxhash64(F.lit(101 + i), "_bw_piece")) for i in (0, 1)})
+    # in a step of their own: beside the generator, paragraphs would be hashed again for each of their pieces
+    hashed = pars.select("*", *[F.when(F.col("_bw_par") == "", 0).otherwise(F.xxhash64(F.lit(i), "_bw_par")).alias(f"_bw_h{i}") for i in range(LANES // 2)])
+    hashed = hashed.select(*by, *[f"_bw_h{i}" for i in range(LANES // 2)], F.posexplode_outer(_pieces(F.col("_bw_par"))).alias("_bw_n", "_bw_piece"))
+    first = F.when(F.coalesce("_bw_n", F.lit(0)) == 0, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
+    pieces = hashed.withColumns({"_bw_first": first} | {f"_bw_g{i}": F.when(F.col("_bw_piece").isNull(), 0).otherwise(F.xxhash64(F.lit(101 + i), "_bw_piece")) for i in (0, 1)})
     lanes = [F.col(f"_bw_l{i}").bitwiseAND(F.lit(WORD)) for i in range(LANES)]
     return pieces.groupBy(*by).agg(*_sums()).select(*by, F.array(*lanes, F.col("_bw_pieces"), *[F.col(f"_bw_p{i}") for i in range(PAIRS)]).alias("state"))
 
