@@ -216,13 +216,20 @@ def _odd(spark: SparkSession, names: list[str]) -> bool:
     return head != b"" and next((e for e, magic, _ in CODECS if head.startswith(magic)), "") != ending
 
 
+def _unsplit(spark: SparkSession) -> int:
+    """The length up to which Spark leaves a file in one part."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
+
+
 def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """read_idx, id, seq, qual of one file, or of all files of a folder in the order of their names."""
     mode = mode.upper()
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("name"))
-    some = [x.name for x in files.orderBy(F.desc(F.col("name").endswith(".xz")), "name").limit(2).collect()]
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("name"), "length")
+    first = files.orderBy(F.desc(F.col("name").endswith(".xz")), "name").limit(2).collect()
+    some = [x.name for x in first]
     if _odd(spark, some):
         whole = spark.read.format("binaryFile").load(path).select(F.xxhash64("_metadata.file_path").alias("file"), "content")
         rows, crossing = whole.mapInArrow(_decompressed(mode), _RECORDS), None
@@ -231,7 +238,7 @@ def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFr
         blocks = written(rows.groupBy("file", "block").agg((F.max("n") + 1).alias("n")), "blocks")
     else:
         lines = spark.read.text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
-        alone = len(some) == 1 and some[0].endswith(".gz")
+        alone = len(some) == 1 and (some[0].endswith(".gz") or first[0].length <= _unsplit(spark))
         rows = lines.mapInArrow(_cutter(mode, alone, False), _RECORDS)
         if alone:  # one file in one task: nothing to number or to stitch
             return rows.select(F.col("n").alias("read_idx"), "id", "seq", "qual")

@@ -13,7 +13,7 @@ from basewright.plans.fixtures import made, mates
 from basewright.schema import READS
 from basewright.sources import fastq
 
-SPLIT = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.files.maxPartitionBytes": "20k"}
+SPLIT = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "0"}
 
 
 @pytest.fixture
@@ -58,10 +58,11 @@ def test_records_that_cross_blocks(spark, split, tmp_path, size):
     rows = records(2000 if size == "20k" else 60)
     (tmp_path / "x.fq").write_text(text(rows))
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert fastq._unsplit(spark) < (tmp_path / "x.fq").stat().st_size
     assert read(spark, tmp_path / "x.fq") == [(i, *r) for i, r in enumerate(rows)]
 
 
-def test_lines_are_not_shuffled(spark, tmp_path):
+def test_lines_are_not_shuffled(spark, split, tmp_path):
     (tmp_path / "x.fq").write_text(text(records(50)))
     (tmp_path / "x.fq.gz").write_bytes(gzip.compress(text(records(50)).encode()))
     alone = fastq.read_fastq(spark, f"{tmp_path}/x.fq.gz")._jdf.queryExecution().executedPlan().toString()
