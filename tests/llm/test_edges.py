@@ -79,8 +79,8 @@ def test_stages_on_nasty_rows(spark, docs, sides, tmp_path):
 
 def test_very_long_texts(spark, sides):
     rnd = random.Random(2)
-    long = "\n".join(" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(1, 30))) for _ in range(20_000))
-    rows = [(1, long), (2, long), (3, "short"), (4, "y" * 1_500_000)]
+    long = "\n".join(" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(1, 30))) for _ in range(4_000))
+    rows = [(1, long), (2, long), (3, "short"), (4, "y" * 300_000)]
     table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
     for name, query in QUERIES.items():
         got = {x[0]: x for x in query(table, *sides).collect()}
@@ -96,7 +96,7 @@ def test_clashing_columns_are_carried(spark):
     assert sorted(map(tuple, linechunks.cleaned(df).collect()), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_queries_agree_with_their_sql(spark, tmp_path, seed):
     rows = [(d, t) for d, t, *_ in nasty(seed)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
