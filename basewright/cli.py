@@ -284,7 +284,7 @@ _PACK = ("-z --gzip", _FLAG), ("-Z --bzip2", _FLAG), ("-x --xz", _FLAG), ("--app
 _PHRED = ("-p --phred", _INT(33))
 _FIGURE = ("-s --show-terminal", _FLAG), ("-W --width", _INT(960)), ("-H --height", _INT(540)), ("-t --types", _STR("png"))
 
-#: Names with aliases, whether there is an INPUT, options, function.
+#: Names with aliases, whether there is an INPUT, options, function. Names, flags and defaults are fixed values: those that users' scripts hold.
 COMMANDS: list[tuple[str, bool, tuple, Callable[[Job], object]]] = [
     ("topn head", True, (("-n --num", _INT(10)), _OUT), _one(position.topn, "num")),
     ("tail", True, (("-n --num", _INT(10)), _OUT), _one(position.tail, "num")),
