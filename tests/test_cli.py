@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from basewright import cli
+from basewright.sources import fastq
 
 RND = random.Random(4)
 
@@ -140,6 +141,24 @@ def test_reports_and_figures(spark, files, monkeypatch):
         run(spark, "plot", "-d", "cycles.txt", "-t", "gif")
 
 
+def test_appending_and_golden_summary(spark, files, monkeypatch):
+    d, one, _ = files
+    monkeypatch.chdir(d)
+    for _ in range(2):
+        run(spark, "split", "1.fq", "-z", "-p", "twice", "--append")
+    assert back(d / "twice_r1.fq.gz") == one[::2] * 2
+    assert [x.seq for x in fastq.read_fastq(spark, f"{d}/twice_r1.fq.gz").orderBy("read_idx").collect()] == [x[1] for x in one[::2] * 2]
+    (d / "two.fq").write_text("@a\nACGTN\n+\nII5+#\n@b\nGG\n+\nI!\n")
+    run(spark, "stats", "two.fq", "-s", "two.txt", "-c", "two.cyc")
+    assert (d / "two.txt").read_text() == (
+        "read average length:\t4\nread min length:\t2\nread max length:\t5\ntotal gc content(%):\t57.14\ntotal read count:\t2\ntotal base count:\t7\n\n"
+        "base A count:\t1\t(14.29%)\nbase T count:\t1\t(14.29%)\nbase G count:\t3\t(42.86%)\nbase C count:\t1\t(14.29%)\nbase N count:\t1\t(14.29%)\n\n"
+        + "".join(f"Number of base calls with quality value of {q} or higher (Q{q}+) (%)\t{n}\t({p}%)\n" for q, n, p in ((5, 5, "71.43"), (10, 5, "71.43"), (15, 4, "57.14"), (20, 4, "57.14"), (30, 3, "42.86")))
+    )
+    first = (d / "two.cyc").read_text().splitlines()
+    assert first[0].split("\t")[:7] == ["cycle", "A", "T", "G", "C", "N", "0"] and first[1].startswith("cyc1\t1:(50.00%)\t0:(0.00%)\t1:(50.00%)\t0:(0.00%)\t0:(0.00%)\t0")
+
+
 def test_standard_input_and_output(spark, files, monkeypatch, capfdbinary):
     d, one, _ = files
     monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(gzip.compress((d / "1.fq").read_bytes()))))
