@@ -6,13 +6,20 @@ same gram of them: every shared span of that length is found. Fingerprints are j
 to both sides word by word, which decides it. An item of fewer than WINDOW words is one window of its own
 length; for each such length that occurs, grams of just that length are compared at every place.
 
-The benchmark's fingerprints are broadcast when counted to be at most BROADCAST_ROWS (some 60 MB); beyond that
-Spark joins them by shuffles. Documents are scanned twice; their texts are shuffled once, to meet the hits.
+1. All texts are fingerprinted in one narrow pass; the places whose gram some item has are kept, as numbers.
+2. Texts with such places, equal ones once, give a row for each place with the words around it; these meet the items'
+   grams, hit by hit, and what agrees is put together to spans and items. No text holds its hits in a list before that.
+3. All texts meet the spans found.
+
+Places, spans and the benchmark's fingerprints are broadcast when counted to be few (BROADCAST_ROWS, BROADCAST_TEXTS),
+and no text is shuffled then but those with places; beyond that Spark joins them by shuffles. Texts are told apart by
+128 bits of hashes. Grams are told apart by 32 bits before words are compared: more candidates, not more hits.
 
 Defined results. Null and wordless texts have no words, no hits and no items; wordless items never occur. Equal
-items and items that repeat an id each count by id; items without an id hit like others, but aren't listed or counted. Rows that repeat a doc_id, or
-have none, are decided each by its own text. An empty benchmark leaves every document clean, no documents give
-no rows.
+items and items that repeat an id each count by id; items without an id hit like others, but aren't listed or counted.
+Rows are decided each by its own text, whatever their doc_id. Texts of any length are read whole. An empty benchmark
+leaves every document clean, no documents give no rows. Columns named `n_words`, `spans` or `items` are replaced by
+`contamination` and kept as they are by `clean`.
 """
 
 from __future__ import annotations
@@ -23,8 +30,13 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basewright.llm.common import written
+
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 200_000
+#: Texts with places or spans (some hundred bytes each) are broadcast when counted to be so many at most.
+BROADCAST_TEXTS = 200_000
+KEY = ["_bw_k1", "_bw_k2"]
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,6 +53,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, BETWEEN_WORDS), "")
 
 
+def _key() -> list[Column]:
+    return [F.xxhash64(F.lit(i), "text").alias(f"_bw_k{i}") for i in (1, 2)]
+
+
 def _places(n: Column, span: int) -> Column:
     """0 to n - span."""
     return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
@@ -104,34 +120,47 @@ def _agree(a: Column, b: Column) -> Column:
     return let(same, lambda s: F.when(F.array_contains(s, False), F.array_position(s, False).cast("int") - 1).otherwise(F.size(s)))
 
 
+def _context(list_: Column, at: Column, back: int, window: int) -> tuple[Column, Column]:
+    """The words before a place, the nearest first, and those from it on."""
+    return F.reverse(F.slice(list_, F.greatest(at - back, F.lit(0)) + 1, F.least(at, F.lit(back)))), F.slice(list_, at + 1, window)
+
+
+def found(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """For each text with a hit its key (_bw_k1, _bw_k2), `spans` and `items`, as a written table."""
+    marks, lengths = item_fingerprints(items, window, gram)
+    few = marks.count() <= BROADCAST_ROWS
+    hashes = marks.select("_bw_hash").dropDuplicates()
+    keyed = docs.select(*_key(), "text")
+    own = _marked(keyed.select(*KEY, words(F.col("text")).alias("_bw_words")), fingerprints(F.col("_bw_words"), window, gram, lengths), *KEY)
+    met = own.join(F.broadcast(hashes) if few else hashes, "_bw_hash", "left_semi")
+    places = written(met.groupBy(*KEY).agg(F.collect_set(F.struct(F.col("_bw_at").alias("at"), F.col("_bw_hash").alias("hash"))).alias("places")), "places")
+    texts = keyed.join(F.broadcast(places) if places.count() <= BROADCAST_TEXTS else places, KEY)
+    texts = texts.groupBy(*KEY).agg(F.any_value("text").alias("text"), F.any_value("places").alias("places"))  # equal texts once
+
+    def near(list_: Column) -> Column:
+        def place(p: Column) -> Column:
+            before, after = _context(list_, p["at"], window - gram, window)
+            return F.struct(p["at"].alias("at"), p["hash"].alias("_bw_hash"), before.alias("own_before"), after.alias("own_after"))
+
+        return F.transform("places", place)
+
+    rows = texts.select(*KEY, F.inline(let(words(F.col("text")), near)))
+    hits = rows.join(F.broadcast(marks) if few else marks, "_bw_hash")
+    span = F.struct((F.col("at") - _agree(F.col("own_before"), F.col("before"))).alias("from"), (F.col("at") + _agree(F.col("own_after"), F.col("after"))).alias("to"))
+    agreed = hits.select(*KEY, "item_id", "need", span.alias("span")).where(F.col("span.to") - F.col("span.from") >= F.col("need"))
+    return written(agreed.groupBy(*KEY).agg(F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("items")), "found")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs' columns with `n_words`, `spans` (from and to of hit runs, one for each hit) and `items` (their ids)."""
+    """docs' columns with `n_words`, `spans` (from and to of hit runs, each once) and `items` (their ids)."""
     if not 0 < gram <= window:
         raise ValueError("gram must be from 1 to window")
-    marks, lengths = item_fingerprints(items, window, gram)
-    if marks.count() <= BROADCAST_ROWS:
-        marks = F.broadcast(marks)
-    back = window - gram
+    hit = found(docs.select("text"), items, window, gram)
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    own = _marked(docs.select(F.col("doc_id").alias("_bw_doc"), words(F.col("text")).alias("_bw_words")), fingerprints(F.col("_bw_words"), window, gram, lengths), "_bw_doc")
-    hits = own.join(marks, "_bw_hash").groupBy("_bw_doc").agg(F.collect_list(F.struct(F.col("_bw_at").alias("at"), "item_id", "need", "before", "after")).alias("_bw_hits"))
-    counted = docs.select(*kept, F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    met = counted.join(hits, counted["doc_id"].eqNullSafe(hits["_bw_doc"]), "left").drop("_bw_doc")
-
-    def span(list_: Column, hit: Column) -> Column:
-        at = hit["at"]
-        after = _agree(F.slice(list_, at + 1, window), hit["after"])
-        before = _agree(F.reverse(F.slice(list_, F.greatest(at - back, F.lit(0)) + 1, F.least(at, F.lit(back)))), hit["before"])
-        return F.struct((at - before).alias("from"), (at + after).alias("to"), hit["item_id"].alias("item_id"), hit["need"].alias("need"))
-
-    spans = let(words(F.col("text")), lambda w: F.filter(F.transform("_bw_hits", lambda hit: span(w, hit)), lambda s: s["to"] - s["from"] >= s["need"]))
-    found = F.when(F.col("_bw_hits").isNull(), F.lit(None)).otherwise(spans)
-    return met.withColumn("_bw_found", found).select(
-        *kept,
-        "n_words",
-        F.coalesce(F.array_distinct(F.transform("_bw_found", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to")))), F.array().cast("array<struct<from:int,to:int>>")).alias("spans"),
-        F.coalesce(F.array_distinct(F.filter(F.transform("_bw_found", lambda s: s["item_id"]), lambda x: x.isNotNull())), F.array().cast(f"array<{items.schema['item_id'].dataType.simpleString()}>")).alias("items"),
-    )
+    counted = docs.select(*kept, *_key(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    met = counted.join(F.broadcast(hit) if hit.count() <= BROADCAST_TEXTS else hit, KEY, "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(hit.schema[c].dataType))
+    return met.select(*kept, "n_words", empty("spans").alias("spans"), empty("items").alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -47,6 +47,7 @@ def test_against_plain_version(spark, monkeypatch):
     want = plain(docs, items)
     assert sorted(map(tuple, decontaminate.digests(a, b).collect()), key=str) == want
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", -1)
     assert sorted(map(tuple, decontaminate.digests(a, b).collect()), key=str) == want
 
 
