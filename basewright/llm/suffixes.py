@@ -8,7 +8,7 @@ small messages with these batches, by their number.
    comes back for each that another document may have too. (A false positive only costs work.)
 2. Runs of windows with the same anchor of that kind go, as one string each, to the partition of their anchor, so
    equal windows meet there. A batch sends equal strings once, with the smallest id that has it: a string that a
-   third of all documents share comes once from each batch.
+   third of all documents share comes once from each batch, and is sorted once.
 3. There all suffixes that start a window are sorted to WIDTH bytes: by characters of eight bytes each,
    ever deeper inside equal runs, down to SHALLOW bytes; the groups of equal prefix that are left are ordered by
    blind tries, all groups at once and a branch of each at a time: a member is held against the head of its group
@@ -30,6 +30,7 @@ own, held whole by a task. An empty table gives no rows. Extra columns aren't re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,20 +43,40 @@ WIDTH, GRAM, SHALLOW = 50, 20, 16
 BATCH = 2 << 20
 #: Bytes of text for each partition of anchors, and of runs, at most as long as they are spread evenly.
 ANCHOR_BYTES, RUN_BYTES = 256 << 20, 8 << 20
+#: Places whose anchors are found at once: few enough to stay in the cache, and to be numbered by 16 bits with a window.
+BLOCK = 1 << 14
 LAST = (1 << 63) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
+_MULTIPLY, _AGAIN, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FRONT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def _zip(x: bytes) -> bytes:
+@lru_cache(1)
+def _zstd() -> tuple:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(x)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _zip(x: bytes) -> bytes:
+    return _zstd()[0].compress(x)
 
 
 def _unzip(x: bytes) -> bytes:
-    import zstandard
+    return _zstd()[1].decompress(x)
+
+
+def _words(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes at each place but the last seven: a view, without a copy."""
+    return np.ndarray((max(len(data) - 7, 0),), f"{order}u8", data, 0, (1,))
 
-    return zstandard.ZstdDecompressor().decompress(x)
+
+def _stable(key: np.ndarray) -> np.ndarray:
+    """The stable order of keys, which leave as many high bits as their number has."""
+    bits = np.uint64(len(key).bit_length())
+    x = key.astype(np.uint64) << bits | np.arange(len(key), dtype=np.uint64)
+    x.sort()
+    return (x & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
 
 
 def packed(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
@@ -85,49 +106,50 @@ def packed(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Mixed 64-bit hashes of all byte strings of length gram."""
-    powers, sums, length = [], [], 1
-    x = data.astype(np.uint64) + np.uint64(1)
-    while length <= gram:
-        sums.append(x)
-        powers.append(np.uint64(pow(_BASE, length, 1 << 64)))
-        if 2 * length > gram:
-            break
-        x = x[:-length] * powers[-1] + x[length:]
-        length *= 2
-    out, covered = None, 0
-    for k in reversed(range(len(sums))):
-        if gram >> k & 1:
-            part = sums[k][covered:]
-            out = part if out is None else out[: len(part)] * powers[k] + part[: len(out)]
-            covered += 1 << k
-    return mixed(out[: len(data) - gram + 1])
+    """64-bit hashes of all byte strings of length gram, from words of eight bytes that may overlap."""
+    count = max(len(data) - gram + 1, 0)
+    x = _words(np.concatenate([data, np.zeros(8, np.uint8)]))[: len(data)]
+    x = (x if gram >= 8 else x & _FRONT[gram]) * _MULTIPLY
+    x ^= x >> np.uint64(32)
+    x *= _AGAIN
+    out = x[:count]
+    for at in [*range(8, gram - 7, 8), *([gram - 8] if gram > 8 and gram % 8 else [])]:
+        out = out * _NEXT
+        out += x[at : at + count]
+    return out
 
 
 class Windows:
-    """The windows of a batch: their anchors and the runs of windows that share one."""
+    """The runs of a batch's windows that share an anchor, by place: document, start, windows, hash of the anchor."""
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray, width: int = WIDTH, gram: int = GRAM):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK):
         ends = np.cumsum(sizes)
-        self.doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - width + 1, 0))
-        first = np.concatenate([[0], np.cumsum(np.maximum(sizes - width + 1, 0))])[:-1]
-        self.start = np.arange(len(self.doc)) - first[self.doc] + (ends - sizes)[self.doc]
-        if not len(self.start):
-            self.anchor = self.run_first = self.run_count = np.empty(0, np.int64)
-            self.run_hash = np.empty(0, np.uint64)
-            return
-        hashes = gram_hashes(data, gram)
-        low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-        left, span = width - gram + 1, 1
-        while 2 * span <= left:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if span < left:
-            low = np.minimum(low[: len(low) - (left - span)], low[left - span :])
-        self.anchor = (low[self.start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.diff(self.anchor, prepend=-1) != 0)
-        self.run_first, self.run_count = new, np.diff(new, append=len(self.anchor))
-        self.run_hash = hashes[self.anchor[new]]
+        begins, stops = ends - sizes, ends - np.minimum(sizes, width - 1)  # windows start before these
+        places, left = max(len(data) - width + 1, 0), width - gram + 1
+        cut = np.zeros(len(data) + 1, bool)
+        cut[begins] = cut[stops] = True
+        number = np.arange(block + left - 1, dtype=np.uint64)
+        starts, hashes, last = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], -1
+        for at in range(0, places, block):
+            each = gram_hashes(data[at : min(at + block, places) + width - 1], gram)
+            low, span = each & np.uint64(0xFFFFFFFFFFFF0000) | number[: len(each)], 1
+            while 2 * span <= left:
+                low = np.minimum(low[:-span], low[span:])
+                span *= 2
+            if span < left:
+                low = np.minimum(low[: len(low) - (left - span)], low[left - span :])
+            anchor = (low & np.uint64(0xFFFF)).astype(np.int64)
+            new = cut[at : at + len(anchor)]
+            new[1:] |= anchor[1:] != anchor[:-1]
+            new[0] |= anchor[0] + at != last
+            first, last = np.flatnonzero(new), int(anchor[-1]) + at
+            starts.append(first + at)
+            hashes.append(each[anchor[first]])
+        start = np.concatenate(starts)
+        doc = np.repeat(np.arange(len(sizes)), np.diff(np.searchsorted(start, begins), append=len(start)))
+        inside = start < stops[doc]
+        self.start, self.count, self.doc = start[inside], np.diff(start, append=places)[inside], doc[inside]
+        self.hash = mixed(np.concatenate(hashes)[inside])
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,16 +163,23 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For as many windows of each run: the run of each window, its place there, and where each run's begin."""
+    first = np.cumsum(count) - count
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.arange(len(of)) - first[of], first
+
+
 def distinct_anchors(windows: Windows, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch's anchors: part, 32 bits, whether two documents here have it, by (part, bits); and each run's number."""
-    part = windows.run_hash % np.uint64(parts)
-    key = part << np.uint64(32) | (windows.run_hash // np.uint64(parts)) & np.uint64(0xFFFFFFFF)
+    part = windows.hash % np.uint64(parts)
+    key = part << np.uint64(32) | (windows.hash // np.uint64(parts)) & np.uint64(0xFFFFFFFF)
     keys, inverse = np.unique(key, return_inverse=True)
-    doc = windows.doc[windows.run_first]
-    low, high = np.full(len(keys), len(windows.doc) + 1), np.full(len(keys), -1)
-    np.minimum.at(low, inverse, doc)
-    np.maximum.at(high, inverse, doc)
-    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), high > low, inverse
+    some = np.empty(len(keys), np.int64)
+    some[inverse] = windows.doc
+    twice = np.zeros(len(keys), bool)
+    twice[inverse[windows.doc != some[inverse]]] = True
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), twice, inverse
 
 
 def _cut(parts: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -190,35 +219,38 @@ def _known(row: dict, windows: Windows, parts: int) -> np.ndarray:
     return shared[inverse]
 
 
+def distinct_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of data: of each the number of its distinct string; of these the first that is equal, and its bytes and zeros."""
+    longest = -(-int(size.max(initial=1)) // 8) * 8
+    word = _words(np.concatenate([data, np.zeros(longest + 8, np.uint8)]))
+    text, key = np.empty((len(start), longest // 8), np.uint64), mixed(size.astype(np.uint64))
+    for i in range(longest // 8):
+        text[:, i] = x = word[start + 8 * i] & _FRONT[np.clip(size - 8 * i, 0, 8)]
+        key = (key ^ x) * _MULTIPLY
+        key ^= key >> np.uint64(32)
+    order = _stable(key * _AGAIN >> np.uint64(32))
+    same = np.zeros(len(order), bool)
+    text, size = text[order], size[order]
+    same[1:] = (size[1:] == size[:-1]) & (text[1:] == text[:-1]).all(axis=1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(~same) - 1
+    return number, order[~same], text[~same].view(np.uint8)
+
+
 class Runs:
     """The runs of a batch that go out: equal strings once, in the order (part, hash, first place)."""
 
     def __init__(self, data: np.ndarray, docs: np.ndarray, windows: Windows, shared: np.ndarray, parts: int):
-        first, count = windows.run_first[shared], windows.run_count[shared]
-        start, self.doc = windows.start[first], docs[windows.doc[first]]
-        self.first, self.count = first, count
-        longest = WIDTH + int(count.max(initial=1)) - 1
-        column = np.arange(longest)
-        size = count + WIDTH - 1
-        text = data[np.minimum(start[:, None] + column, len(data) - 1)] if len(start) else np.empty((0, longest), np.uint8)
-        text = np.where(column < size[:, None], text, 0)
-        key = mixed(size.astype(np.uint64))
-        padded = np.zeros((len(text), -(-longest // 8) * 8), np.uint8)
-        padded[:, :longest] = text
-        for x in padded.view("<u8").T:
-            key = mixed(key ^ x)
-        order = np.lexsort((start, key))
-        same = np.zeros(len(order), bool)
-        same[1:] = (key[order][1:] == key[order][:-1]) & (padded[order][1:] == padded[order][:-1]).all(axis=1) & (size[order][1:] == size[order][:-1])
-        part = ((windows.run_hash[shared] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        head = order[~same]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(~same) - 1
-        by_part = np.argsort(part[head], kind="stable")
+        self.start, self.count, self.place = windows.start[shared], windows.count[shared], windows.doc[shared]
+        self.doc = docs[self.place]
+        size = self.count + WIDTH - 1
+        number, head, text = distinct_strings(data, self.start, size)
+        part = ((windows.hash[shared] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)[head]
+        by_part = _stable(part)
         place = np.empty(len(head), np.int64)
         place[by_part] = np.arange(len(head))
-        self.number, head = place[rank], head[by_part]  # of each run: its string
-        self.part, self.size, self.text = part[head], size[head], text[head]
+        self.number = place[number]  # of each run: its string
+        self.part, self.size, self.text = part[by_part], size[head][by_part], text[by_part]
         self.least = np.full(len(head), LAST)
         np.minimum.at(self.least, self.number, self.doc)
 
@@ -229,10 +261,11 @@ def _send_runs(anchor_parts: int, parts: int):
             data, docs, sizes = _opened(row)
             windows = Windows(data, sizes)
             runs = Runs(data, docs, windows, _known(row, windows, anchor_parts), parts)
+            text = runs.text[np.arange(runs.text.shape[1]) < runs.size[:, None]]
+            at = np.concatenate([[0], np.cumsum(runs.size)])
             out = []
             for p, s in _cut(runs.part):
-                inside = np.arange(runs.text.shape[1]) < runs.size[s][:, None]
-                out.append((row["batch"], p, _zip(runs.text[s][inside].tobytes()), _zip(runs.size[s].astype(np.uint16).tobytes()), _zip(runs.least[s].tobytes())))
+                out.append((row["batch"], p, _zip(text[at[s.start] : at[s.stop]].tobytes()), _zip(runs.size[s].astype(np.uint16).tobytes()), _zip(runs.least[s].tobytes())))
             if out:
                 kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "part", "text", "sizes", "least"])
@@ -245,19 +278,20 @@ def sorted_windows(data: np.ndarray, starts: np.ndarray, width: int = WIDTH, sha
 
     width must be 8 more than a multiple of 8 at least; data must go on for width bytes after each start.
     """
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = padded[:-8] << np.uint64(56)
-    for i in range(1, 8):
-        word |= padded[i : i - 8] << np.uint64(56 - 8 * i)
-    order = np.argsort(word[starts])
-    key = word[starts[order]]
+    word = _words(np.concatenate([data, np.zeros(8, np.uint8)]), ">").astype(np.uint64)
+    key = word[starts]
+    order = np.argsort(key)
+    key = key[order]
     new = np.concatenate([[True], key[1:] != key[:-1]]) if len(order) else np.zeros(0, bool)
     for depth in range(8, shallow, 8):  # multikey quicksort: equal runs are sorted by the next character
         more = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(more):
             return order, new
         run, key = np.cumsum(new[more]), word[starts[order[more]] + depth]
-        again = np.lexsort((key, run))
+        by_key = np.argsort(key)
+        rank = np.empty(len(key), np.int64)
+        rank[by_key] = np.cumsum(np.diff(key[by_key], prepend=key[by_key[:1]]) != 0)
+        again = np.argsort(run * (len(key) + 1) + rank)
         order[more], run, key = order[more[again]], run[again], key[again]
         new[more[1:]] |= (run[1:] != run[:-1]) | (key[1:] != key[:-1])
     more = np.flatnonzero(~(new & np.append(new[1:], True)))
@@ -293,7 +327,7 @@ def sorted_windows(data: np.ndarray, starts: np.ndarray, width: int = WIDTH, sha
         if not len(more):
             break
         byte = data[at + branch]
-        again = np.lexsort((byte, run))  # only the byte at the branch is looked at
+        again = _stable(run << 8 | byte)  # only the byte at the branch is looked at
         order[more] = order[more[again]]
         run, byte, at, differ, branch = (x[again] for x in (run, byte, at, differ, branch))
         new[more[1:]] |= (run[1:] != run[:-1]) | (byte[1:] != byte[:-1])
@@ -312,14 +346,17 @@ def _answer_runs(table: pa.Table) -> pa.Table:
     sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in columns[1]]
     size, least = np.concatenate(sizes), np.frombuffer(b"".join(columns[2]), np.int64)
     data = np.frombuffer(b"".join(columns[0]), np.uint8)
-    count = size - WIDTH + 1
-    of = np.repeat(np.arange(len(size)), count)
-    starts = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(size) - size, count)
-    order, new = sorted_windows(data, starts)
-    lowest = np.minimum.reduceat(least[of[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-    bit = np.empty(len(order), bool)
-    bit[order] = lowest < least[of[order]]
-    ends = np.cumsum([int(c.sum()) for c in (s - WIDTH + 1 for s in sizes)])[:-1]
+    begin = np.cumsum(size) - size
+    number, head, _ = distinct_strings(data, begin, size)  # what several batches sent is sorted once
+    lowest = np.full(len(head), LAST)
+    np.minimum.at(lowest, number, least)
+    of, step, first = _spread(size[head] - WIDTH + 1)
+    order, new = sorted_windows(data, begin[head][of] + step)
+    found = np.empty(len(order), np.int64)
+    found[order] = np.minimum.reduceat(lowest[of[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+    of, step, _ = _spread(size - WIDTH + 1)
+    bit = found[first[number][of] + step] < least[of]
+    ends = np.cumsum([int(s.sum()) - len(s) * (WIDTH - 1) for s in sizes])[:-1]
     return pa.table({"batch": table.column("batch"), "part": table.column("part"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(bit, ends)], pa.binary())})
 
 
@@ -335,20 +372,26 @@ def _finish(anchor_parts: int, parts: int):
             bits = [np.unpackbits(np.frombuffer(answers[p], np.uint8), count=int(count[s].sum())) for p, s in _cut(runs.part)]
             smaller = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
             # windows of the runs that went out: gone if a smaller id has them, here or elsewhere
-            of = np.repeat(np.arange(len(runs.count)), runs.count)
-            step = np.arange(len(of)) - np.repeat(np.cumsum(runs.count) - runs.count, runs.count)
+            of, step, _ = _spread(runs.count)
             gone = (runs.doc > runs.least[runs.number])[of] | smaller[first[runs.number][of] + step] if len(of) else np.zeros(0, bool)
-            start = windows.start[runs.first[of] + step][gone]
-            change = np.bincount(start, minlength=len(data) + 1)[: len(data) + 1] - np.bincount(start + WIDTH, minlength=len(data) + 1)[: len(data) + 1]
-            removed = np.cumsum(change)[: len(data)] > 0
-            out, at = [], 0
-            for doc, given, size in zip(row["docs"], row["given"], row["sizes"], strict=True):
-                own = removed[at : at + size]
-                spans = int(np.count_nonzero(np.diff(own.astype(np.int8), prepend=0) == 1))
-                out.append((doc if given else None, size, int(own.sum()), spans, data[at : at + size][~own].tobytes()))
-                at += size
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            start, doc = (runs.start[of] + step)[gone], runs.place[of][gone]
+            # removed spans: windows that overlap or touch, inside a document
+            opens = np.ones(len(start), bool)
+            opens[1:] = (np.diff(start) > WIDTH) | (np.diff(doc) != 0)
+            begin, doc = start[opens], doc[opens]
+            end = start[np.append(opens[1:], True)] + WIDTH if len(start) else begin
+            change = np.zeros(len(data) + 1, np.int8)
+            change[begin] += 1
+            change[end] -= 1
+            kept = data[np.cumsum(change[:-1], dtype=np.int8) == 0]
+            removed = np.bincount(doc, end - begin, len(sizes)).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
+            columns = [
+                pa.array(docs, mask=~np.array(row["given"], bool)),
+                *(pa.array(c, pa.int64()) for c in (sizes, removed, np.bincount(doc, minlength=len(sizes)))),
+                pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 

@@ -62,6 +62,51 @@ def test_sorted_windows():
     assert new.tolist() == [i == 0 or texts[i] != texts[i - 1] for i in range(len(texts))]
 
 
+def test_equal_strings_are_sorted_once(monkeypatch):
+    rnd = random.Random(4)
+    strings = ["".join(rnd.choices("abcdefgh ", k=rnd.randint(50, 80))).encode() for _ in range(30)]
+    sizes, least = np.array([len(s) for s in strings]), np.arange(30)
+    windows, zipped = int(sizes.sum()) - 30 * 49, suffixes._zip
+    sent = [  # twelve batches have the same strings
+        {"batch": b, "part": 0, "text": zipped(b"".join(strings)), "sizes": zipped(sizes.astype(np.uint16).tobytes()), "least": zipped((least + b).tobytes())}
+        for b in range(12)
+    ]
+    sorted_, calls = suffixes.sorted_windows, []
+    monkeypatch.setattr(suffixes, "sorted_windows", lambda data, starts: calls.append(len(starts)) or sorted_(data, starts))
+    bits = suffixes._answer_runs(suffixes.pa.Table.from_pylist(sent)).column("bits").to_pylist()
+    assert calls == [windows]  # not twelve times as many
+    for b, x in enumerate(bits):
+        assert np.unpackbits(np.frombuffer(x, np.uint8), count=windows).tolist() == [b > 0] * windows
+
+
+def test_windows_by_blocks():
+    rnd = np.random.default_rng(7)
+    data = rnd.integers(97, 100, 3_000).astype(np.uint8)
+    data[500:900] = 97
+    sizes = np.array([0, 700, 49, 50, 0, 1_200, 51, 3, 900, 47, 0])
+    whole = suffixes.Windows(data, sizes)
+    starts = [b + i for b, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True) for i in range(n - 49)]
+    assert [s + i for s, n in zip(whole.start, whole.count, strict=True) for i in range(n)] == starts
+    ends = np.cumsum(sizes)
+    assert (whole.start + whole.count + 49 <= ends[whole.doc]).all() and (whole.start >= (ends - sizes)[whole.doc]).all()
+    for block in (1, 31, 200):
+        other = suffixes.Windows(data, sizes, block=block)
+        for name in ("start", "count", "doc", "hash"):
+            assert getattr(other, name).tolist() == getattr(whole, name).tolist()
+    grams = suffixes.mixed(suffixes.gram_hashes(data, suffixes.GRAM))
+    for s, n, h in zip(whole.start.tolist(), whole.count.tolist(), whole.hash, strict=True):
+        assert h in grams[s + n - 1 : s + 31]  # the anchor stands in each of its windows
+
+
+def test_distinct_strings():
+    data = np.frombuffer(b"abcabcabcdabc" + bytes(9) + b"abc\0", np.uint8)
+    start, size = np.array([0, 3, 6, 10, 22, 6, 0, 22]), np.array([3, 3, 3, 3, 3, 4, 9, 4])
+    number, head, text = suffixes.distinct_strings(data, start, size)
+    strings = [data[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+    assert sorted(strings[h] for h in head) == sorted(set(strings)) and [strings[head[k]] for k in number] == strings
+    assert [t.tobytes()[: size[h]] for t, h in zip(text, head, strict=True)] == [strings[h] for h in head]
+
+
 def test_gram_hashes():
     data = np.random.default_rng(1).integers(0, 256, 300).astype(np.uint8)
     data[200:240] = data[100:140]
