@@ -219,22 +219,26 @@ def _known(row: dict, windows: Windows, parts: int) -> np.ndarray:
     return shared[inverse]
 
 
-def distinct_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strings of data: of each the number of its distinct string; of these the first that is equal, and its bytes and zeros."""
-    longest = -(-int(size.max(initial=1)) // 8) * 8
-    word = _words(np.concatenate([data, np.zeros(longest + 8, np.uint8)]))
-    text, key = np.empty((len(start), longest // 8), np.uint64), mixed(size.astype(np.uint64))
-    for i in range(longest // 8):
-        text[:, i] = x = word[start + 8 * i] & _FRONT[np.clip(size - 8 * i, 0, 8)]
-        key = (key ^ x) * _MULTIPLY
+def distinct_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of data: of each the number of its distinct string, and of these the first that is equal."""
+    places = range(0, int(size.max(initial=1)), 8)
+    word = _words(np.concatenate([data, np.zeros(8 * len(places) + 8, np.uint8)]))
+    key = mixed(size.astype(np.uint64))
+    for at in places:
+        key = (key ^ word[start + at] & _FRONT[np.clip(size - at, 0, 8)]) * _MULTIPLY
         key ^= key >> np.uint64(32)
     order = _stable(key * _AGAIN >> np.uint64(32))
-    same = np.zeros(len(order), bool)
-    text, size = text[order], size[order]
-    same[1:] = (size[1:] == size[:-1]) & (text[1:] == text[:-1]).all(axis=1)
+    key = key[order]
+    like = np.flatnonzero(key[1:] == key[:-1]) + 1
+    like = like[size[order[like]] == size[order[like - 1]]]
+    for at in places:  # only those with the hash of the one before are compared, eight bytes of each at a time
+        one, other, front = start[order[like]] + at, start[order[like - 1]] + at, _FRONT[np.clip(size[order[like]] - at, 0, 8)]
+        like = like[(word[one] ^ word[other]) & front == 0]
+    new = np.ones(len(order), bool)
+    new[like] = False
     number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(~same) - 1
-    return number, order[~same], text[~same].view(np.uint8)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
 
 
 class Runs:
@@ -244,16 +248,23 @@ class Runs:
         self.start, self.count, self.place = windows.start[shared], windows.count[shared], windows.doc[shared]
         self.doc = docs[self.place]
         size = self.count + WIDTH - 1
-        number, head, text = distinct_strings(data, self.start, size)
+        number, head = distinct_strings(data, self.start, size)
         part = ((windows.hash[shared] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)[head]
         by_part = _stable(part)
         place = np.empty(len(head), np.int64)
         place[by_part] = np.arange(len(head))
         self.number = place[number]  # of each run: its string
-        self.part, self.size, self.text = part[by_part], size[head][by_part], text[by_part]
+        self.part, head = part[by_part], head[by_part]
+        self.size, self.head = size[head], self.start[head]
         self.least = np.full(len(head), LAST)
         np.minimum.at(self.least, self.number, self.doc)
 
+    def text(self, data: np.ndarray) -> np.ndarray:
+        """The strings, one after the other."""
+        places = np.arange(0, int(self.size.max(initial=1)), 8)
+        text = _words(np.concatenate([data, np.zeros(8 * len(places) + 8, np.uint8)]))[self.head[:, None] + places].view(np.uint8)
+        return text[np.arange(text.shape[1]) < self.size[:, None]]
+
 
 def _send_runs(anchor_parts: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +272,7 @@ def _send_runs(anchor_parts: int, parts: int):
             data, docs, sizes = _opened(row)
             windows = Windows(data, sizes)
             runs = Runs(data, docs, windows, _known(row, windows, anchor_parts), parts)
-            text = runs.text[np.arange(runs.text.shape[1]) < runs.size[:, None]]
-            at = np.concatenate([[0], np.cumsum(runs.size)])
+            text, at = runs.text(data), np.concatenate([[0], np.cumsum(runs.size)])
             out = []
             for p, s in _cut(runs.part):
                 out.append((row["batch"], p, _zip(text[at[s.start] : at[s.stop]].tobytes()), _zip(runs.size[s].astype(np.uint16).tobytes()), _zip(runs.least[s].tobytes())))
@@ -347,7 +357,7 @@ def _answer_runs(table: pa.Table) -> pa.Table:
     size, least = np.concatenate(sizes), np.frombuffer(b"".join(columns[2]), np.int64)
     data = np.frombuffer(b"".join(columns[0]), np.uint8)
     begin = np.cumsum(size) - size
-    number, head, _ = distinct_strings(data, begin, size)  # what several batches sent is sorted once
+    number, head = distinct_strings(data, begin, size)  # what several batches sent is sorted once
     lowest = np.full(len(head), LAST)
     np.minimum.at(lowest, number, least)
     of, step, first = _spread(size[head] - WIDTH + 1)

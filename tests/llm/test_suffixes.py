@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -101,10 +102,20 @@ def test_windows_by_blocks():
 def test_distinct_strings():
     data = np.frombuffer(b"abcabcabcdabc" + bytes(9) + b"abc\0", np.uint8)
     start, size = np.array([0, 3, 6, 10, 22, 6, 0, 22]), np.array([3, 3, 3, 3, 3, 4, 9, 4])
-    number, head, text = suffixes.distinct_strings(data, start, size)
+    number, head = suffixes.distinct_strings(data, start, size)
     strings = [data[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
     assert sorted(strings[h] for h in head) == sorted(set(strings)) and [strings[head[k]] for k in number] == strings
-    assert [t.tobytes()[: size[h]] for t, h in zip(text, head, strict=True)] == [strings[h] for h in head]
+
+
+def test_memory_of_equal_runs():
+    data = np.full(200_000, 97, np.uint8)  # each window has an anchor of its own
+    windows = suffixes.Windows(data, np.array([len(data)]))
+    shared = np.ones(len(data) - 49, bool)
+    tracemalloc.start()
+    runs = suffixes.Runs(data, np.array([1]), windows, shared, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(runs.size) == 1 and peak < 200 * len(shared)  # no table of the bytes of all strings
 
 
 def test_gram_hashes():
